@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmark.llm import cooccurrence, mixing, splitting, termfreq, tokenize
+from weftmark.llm import cooccurrence, lookalike, mixing, overlap, splitting, termfreq, tokenize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -53,11 +53,35 @@ def p9_shares(spark, d):
     return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p2_found(spark, d):
+    return lookalike.disguised_mentions(table(spark, d, "mentions"), table(spark, d, "concepts"))
+
+
+def p2_forms(spark, d):
+    return lookalike.unified_forms(table(spark, d, "mentions"), table(spark, d, "concepts"))
+
+
+def _splits(spark, d):
+    return overlap.split_overlaps({name: table(spark, d, name) for name in ("mini_inspec", "mini_clusters_ecb")})
+
+
+def p6_found(spark, d):
+    return overlap.overlap_pairs(*_splits(spark, d))
+
+
+def p6_counts(spark, d):
+    return overlap.overlap_counts(*_splits(spark, d))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_scores": p1_scores,
+    "p2_found": p2_found,
+    "p2_forms": p2_forms,
     "p4_found": p4_found,
     "p4_terms": p4_terms,
+    "p6_found": p6_found,
+    "p6_counts": p6_counts,
     "p7_found": p7_found,
     "p7_pieces": p7_pieces,
     "p8_ids": p8_ids,
@@ -88,6 +112,14 @@ totals as (select 'keyphrases' as field, count(distinct id) as t from mini_inspe
 marks as (select field, term, occurrences, records, case when records < 3 then 'rare' when records * 100 > t * 5 then 'common' else 'usual' end as mark
   from counts join totals using (field))"""
 
+_SETS = f"""recs as (select 'mini_inspec' as corpus, id, {_plain('split')} as split, source, text from mini_inspec
+  union select 'mini_clusters_ecb', id, {_plain('split')}, source, text from mini_clusters_ecb),
+sets as (select corpus, id, split, source, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) as w from recs
+  where split is not null and text is not null and len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) >= 8),
+alike as (select a.corpus, a.id as x, b.id as y from sets a join sets b on a.corpus = b.corpus and a.split = 'train' and b.split <> 'train'
+  and len(a.w) * 5 >= len(b.w) * 4 and len(b.w) * 5 >= len(a.w) * 4
+  where len(list_intersect(a.w, b.w)) * 9 >= (len(a.w) + len(b.w)) * 4)"""
+
 ORACLE = {
     "p1_found": f"with {_ITEMS} select surface_a, surface_b from full_pairs where n_ab >= 5 and n_ab * t >= 4 * n_a * n_b",
     "p1_scores": f"""with {_ITEMS} select surface_a, surface_b, n_a, n_b, n_ab, round(n_a::double * n_b / t, 6) as expected,
@@ -100,5 +132,9 @@ round(2 * (n_ab * ln(n_ab / (n_a::double * n_b / t))
 from full_pairs""",
     "p4_found": f"with {_TERMS} select field, term, mark from marks where mark <> 'usual'",
     "p4_terms": f"with {_TERMS} select field, term, occurrences, records, mark from marks",
+    "p6_found": f"with {_SETS} select corpus, least(x, y) as id_a, greatest(x, y) as id_b from alike group by all",
+    "p6_counts": f"""with {_SETS}, hits as (select distinct corpus, y from alike)
+select s.corpus, s.split, s.source, count(distinct s.id) as records, count(distinct h.y) as overlapping
+from sets s left join hits h on h.corpus = s.corpus and h.y = s.id where s.split <> 'train' group by 1, 2, 3""",
     "p7_found": "select doc_id from documents where length(text) > 2000",
 }
