@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmark.llm import cooccurrence, lookalike, mixing, overlap, splitting, termfreq, tokenize
+from weftmark.llm import cooccurrence, garbled, lookalike, mixing, overlap, splitting, termfreq, tokenize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,14 @@ def p6_counts(spark, d):
     return overlap.overlap_counts(*_splits(spark, d))
 
 
+def p10_found(spark, d):
+    return garbled.garbled(table(spark, d, "documents"), "doc_id").select("doc_id")
+
+
+def p10_restored(spark, d):
+    return garbled.garbled(table(spark, d, "documents"), "doc_id")
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_scores": p1_scores,
@@ -87,6 +95,8 @@ QUERIES = {
     "p8_ids": p8_ids,
     "p9_selection": p9_selection,
     "p9_shares": p9_shares,
+    "p10_found": p10_found,
+    "p10_restored": p10_restored,
 }
 
 
