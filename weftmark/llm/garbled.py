@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftmark.llm.lookalike import SHAPES
+
 SIZE = 2336
 OTHER = 2288
 # Code point ranges that keep one class a character, in order, from class 1536 on.
@@ -41,12 +43,12 @@ SWAPS = (
 )
 EAST = ("euc_jp", "shift_jis")
 LATIN_READ = ("cp1252", "mac_roman", "cp437", "cp1251", "cp850")
-MARGIN = 20.0  # bits by which a mapping that keeps the length must gain
-SEQUENCE_MARGIN = 8.0  # bits by which a misread UTF-8 sequence must gain
+MARGIN = 15.0  # bits by which a mapping that keeps the length must gain
+SEQUENCE_MARGIN = 4.0  # bits by which a misread UTF-8 sequence must gain
 RARE_ENCODING = 3.0  # bits more that readings through the encodings after the first two must gain
 KNOWN = 2e-7  # share of all characters from which a class counts as one the corpus uses
 LEVEL = -16.0  # log2 of a pair's term of the mutual information at which it is neither probable nor improbable
-LEAST_RUN = 4.0
+LEAST_RUN = 3.0
 STRAY = 20.0  # bits more that a sequence must gain in a word with other characters that would be stray bytes
 LEAST_WORD = 4.0  # bits by which a further word must gain from a swap that holds elsewhere in its text
 BLANKS = " \n\t\r"
@@ -145,14 +147,18 @@ def high_runs(read: str, true: str) -> re.Pattern:
 NATURAL = re.compile(r"[^\W\d_]+")
 
 
+RAW = re.compile("[^ \\n\\t\\r]*[\\x80-\\x84\\x86-\\x9f][^ \\n\\t\\r]*|[\\x80-\\xff]{6,}")
+
+
 def natural_word(span: str) -> bool:
     """Letters alone, without a capital behind a small letter: more likely a word than misread bytes."""
     return bool(NATURAL.fullmatch(span)) and not any(x.islower() and y.isupper() for x, y in zip(span, span[1:]))
 
 
 def suspicious_spans(text: str) -> list[tuple[int, int]]:
-    """Spans that are UTF-8 read through some encoding and no plain words, merged and in order."""
-    spans = sorted({m.span() for tool, _ in possible(text) for m in tool.pattern.finditer(text) if not natural_word(m.group())})
+    """Spans that are UTF-8 read through some encoding and no plain words, words with C1 controls, and long
+    stretches from U+0080 to U+00FF; merged and in order."""
+    spans = sorted({m.span() for tool, _ in possible(text) for m in tool.pattern.finditer(text) if not natural_word(m.group())} | {m.span() for m in RAW.finditer(text)})
     out: list[tuple[int, int]] = []
     for a, b in spans:
         if out and a < out[-1][1]:
@@ -278,9 +284,14 @@ def _undo_east(text: str, a: int, b: int, model: PairModel) -> tuple[str, float]
 
 @cache
 def _swap_classes() -> tuple[np.ndarray, np.ndarray]:
-    """By swap and class: the class it becomes, and whether the misreading can give it."""
-    to = np.tile(np.arange(SIZE, dtype=np.int32), (len(SWAPS), 1))
-    readable = np.zeros((len(SWAPS), SIZE), dtype=bool)
+    """By swap and class: the class it becomes, and whether the misreading can give it. The last row is no swap:
+    it reads letters of other scripts as the Latin letters that they look like."""
+    to = np.tile(np.arange(SIZE, dtype=np.int32), (len(SWAPS) + 1, 1))
+    readable = np.zeros((len(SWAPS) + 1, SIZE), dtype=bool)
+    readable[-1] = True
+    for group in SHAPES:
+        for ch in group[1:] if group[0].isascii() else "":
+            to[-1, _CLASS[ord(ch)]] = ord(group[0])
     readable[:, :128] = True
     for k, table in enumerate(swaps()):
         for ch in byte_table(SWAPS[k][0]):
@@ -292,17 +303,19 @@ def _swap_classes() -> tuple[np.ndarray, np.ndarray]:
 
 
 def _word_gains(text: str, words: list[re.Match], model: PairModel, only: int | None = None) -> np.ndarray:
-    """Bits that each word (column) gains by each swap (row); a word with characters that the misreading cannot give gains none."""
+    """Bits that each word (column) gains by each swap (row) beyond those of its reading as look-alike letters;
+    a word with characters that the misreading cannot give gains none."""
     to, readable = _swap_classes()
     if only is not None:
-        to, readable = to[only : only + 1], readable[only : only + 1]
+        to, readable = to[[only, -1]], readable[[only, -1]]
     c = classes_of(points_of("\n" + text + "\n"))
     d = to[:, c]
     zero = np.zeros((len(d), 1))
     total = np.hstack([zero, np.cumsum(model.cond[d[:, :-1], d[:, 1:]] - model.cond[c[:-1], c[1:]], axis=1, dtype=np.float64)])
     odd = np.hstack([zero, np.cumsum(~readable[:, c[1:-1]], axis=1)])
     first, last = np.array([m.start() for m in words]), np.array([m.end() for m in words])
-    return np.where(odd[:, last] > odd[:, first], -MARGIN, total[:, last + 1] - total[:, first])
+    gains = np.where(odd[:, last] > odd[:, first], -MARGIN, total[:, last + 1] - total[:, first])
+    return gains[:-1] - np.maximum(gains[-1], 0.0)
 
 
 def _undo_swap(text: str, a: int, b: int, model: PairModel) -> tuple[str, float, int] | None:
