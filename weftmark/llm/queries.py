@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftmark.llm import cooccurrence, garbled, lookalike, mixing, overlap, splitting, termfreq, tokenize
+from weftmark.llm import cooccurrence, garbled, lookalike, mixing, neighbors, overlap, splitting, termfreq, tokenize
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,6 +61,16 @@ def p2_forms(spark, d):
     return lookalike.unified_forms(table(spark, d, "mentions"), table(spark, d, "concepts"))
 
 
+def p5_found(spark, d):
+    return neighbors.similar_pairs(table(spark, d, "concepts"))
+
+
+def p5_neighbors(spark, d):
+    concepts = table(spark, d, "concepts")
+    labels = concepts.select(F.col("id").alias("neighbor_id"), F.col("label").alias("neighbor_label")).dropDuplicates(["neighbor_id"])
+    return neighbors.neighbors(concepts).join(labels, "neighbor_id").select("id", "rank", "neighbor_id", "neighbor_label", F.round("cosine", 5).alias("cosine"))
+
+
 def _splits(spark, d):
     return overlap.split_overlaps({name: table(spark, d, name) for name in ("mini_inspec", "mini_clusters_ecb")})
 
@@ -88,6 +98,8 @@ QUERIES = {
     "p2_forms": p2_forms,
     "p4_found": p4_found,
     "p4_terms": p4_terms,
+    "p5_found": p5_found,
+    "p5_neighbors": p5_neighbors,
     "p6_found": p6_found,
     "p6_counts": p6_counts,
     "p7_found": p7_found,
