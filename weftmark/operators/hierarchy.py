@@ -37,16 +37,17 @@ def typed_edges(relations: DataFrame, kind: str = "is_a", child: str = "source_i
 
 
 def _climb(edges: DataFrame) -> DataFrame:
-    """Frontier at the fixpoint: (node, end, at_root, steps).
+    """Frontier at the fixpoint: (node, end, at_root, steps, most).
 
-    Rows with ``at_root`` are all (node, root) pairs with their shortest distance. The nodes of the
-    other rows are exactly those from which an endless walk starts.
+    Rows with ``at_root`` are all (node, root) pairs with their shortest distance and, where no cycle is
+    above the node, their longest. The nodes of the other rows are exactly those from which an endless walk
+    starts.
     """
     tops = edges.select(F.col("parent").alias("end")).join(edges.select(F.col("child").alias("end")), "end", "left_anti").distinct()
     front = materialize(
         edges.select(F.col("child").alias("node"), F.col("parent").alias("end"))
         .join(tops.withColumn("at_root", F.lit(True)), "end", "left")
-        .select("node", "end", F.coalesce("at_root", F.lit(False)).alias("at_root"), F.lit(1).cast("long").alias("steps"))
+        .select("node", "end", F.coalesce("at_root", F.lit(False)).alias("at_root"), F.lit(1).cast("long").alias("steps"), F.lit(1).cast("long").alias("most"))
     )
     before = None
     while True:
@@ -54,11 +55,11 @@ def _climb(edges: DataFrame) -> DataFrame:
         if now[1] == 0 or tuple(now) == before:
             return front
         before = tuple(now)
-        open_ = front.filter(~F.col("at_root")).select("node", F.col("end").alias("via"), F.col("steps").alias("a"))
-        on = front.select(F.col("node").alias("via"), "end", "at_root", F.col("steps").alias("b"))
-        further = open_.join(on, "via").select("node", "end", "at_root", (F.col("a") + F.col("b")).alias("steps"))
+        open_ = front.filter(~F.col("at_root")).select("node", F.col("end").alias("via"), F.col("steps").alias("a"), F.col("most").alias("m"))
+        on = front.select(F.col("node").alias("via"), "end", "at_root", F.col("steps").alias("b"), F.col("most").alias("n"))
+        further = open_.join(on, "via").select("node", "end", "at_root", (F.col("a") + F.col("b")).alias("steps"), (F.col("m") + F.col("n")).alias("most"))
         nxt = materialize(
-            front.filter("at_root").unionByName(further).groupBy("node", "end", "at_root").agg(F.min("steps").alias("steps"))
+            front.filter("at_root").unionByName(further).groupBy("node", "end", "at_root").agg(F.min("steps").alias("steps"), F.max("most").alias("most"))
         )
         release(front)
         front = nxt
@@ -74,7 +75,7 @@ def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def _on_cycles(core: DataFrame) -> DataFrame:
-    """Nodes of a small or ring-like graph that reach themselves: closure by squaring while it stays in
+    """(node, part) of the nodes that reach themselves, ``part`` naming their strongly connected part: closure by squaring while it stays in
     proportion to the graph, else strongly connected parts by label propagation (exact as well)."""
     size = core.count()
     pairs, known = core, size
@@ -87,7 +88,8 @@ def _on_cycles(core: DataFrame) -> DataFrame:
         n = nxt.count()
         pairs = nxt
         if n == known:
-            return pairs.filter("child = parent").select(F.col("child").alias("node")).distinct()
+            back = pairs.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
+            return pairs.join(back, ["child", "parent"], "left_semi").groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("part"))
         if n > CLOSURE_FACTOR * max(size, 10_000):
             release(pairs)
             return _coloured(core)
@@ -95,13 +97,14 @@ def _on_cycles(core: DataFrame) -> DataFrame:
 
 
 def _coloured(core: DataFrame) -> DataFrame:
-    """Nodes in strongly connected parts of two or more nodes, or with an edge to themselves.
+    """(node, part) of nodes in strongly connected parts of two or more nodes, or with an edge to themselves.
 
     Every node takes the largest id that reaches it; the nodes of one colour that also reach their
     colour's own node form a part. Parts found are removed and the rest is coloured again. Memory is in
     proportion to the edges; the rounds follow the width of the parts.
     """
-    found = core.filter("child = parent").select(F.col("child").alias("node"))
+    loops = core.filter("child = parent").select(F.col("child").alias("node"))
+    found = loops.select("node", F.col("node").alias("part")).limit(0)
     edges = materialize(core.filter("child <> parent"))
     while edges.count():
         nodes = edges.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
@@ -132,14 +135,15 @@ def _coloured(core: DataFrame) -> DataFrame:
                 break
             known = total
         big = part.groupBy("colour").count().filter("count > 1").select("colour")
-        found = found.unionByName(part.join(big, "colour", "left_semi").select("node"))
+        found = found.unionByName(part.join(big, "colour", "left_semi").select("node", F.col("colour").alias("part")))
         rest = nodes.join(part.select("node"), "node", "left_anti")
         edges = materialize(_within(edges, rest))
-    return found.distinct()
+    alone = loops.join(found.select("node"), "node", "left_anti")
+    return found.unionByName(alone.select("node", F.col("node").alias("part")))
 
 
 def cycle_nodes(edges: DataFrame, climbed: DataFrame | None = None) -> DataFrame:
-    """(node) of every node that reaches itself by one or more steps.
+    """(node, part) of every node that reaches itself by one or more steps; ``part`` is the same for nodes that reach each other.
 
     Only nodes with a cycle above them and a cycle below them can lie on one; both sets come from
     ``_climb``, upwards and, within the first, downwards.
@@ -147,7 +151,7 @@ def cycle_nodes(edges: DataFrame, climbed: DataFrame | None = None) -> DataFrame
     up = _climb(edges) if climbed is None else climbed
     above = materialize(up.filter(~F.col("at_root")).select("node").distinct())
     if not above.take(1):
-        return above
+        return above.select("node", F.col("node").alias("part"))
     inner = materialize(_within(edges, above))
     down = _climb(inner.select(F.col("parent").alias("child"), F.col("child").alias("parent")))
     core = down.filter(~F.col("at_root")).select("node").distinct()
@@ -209,7 +213,7 @@ def node_summary(edges: DataFrame) -> DataFrame:
     met = met.unionByName(tops.select("node", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("roots")))
     return (
         nodes.join(met, "node", "left")
-        .join(loops.withColumn("on_cycle", F.lit(True)), "node", "left")
+        .join(loops.select("node", F.lit(True).alias("on_cycle")), "node", "left")
         .select(F.col("node").alias("concept_id"), "depth", F.coalesce("roots", F.lit(0)).cast("long").alias("roots"), F.coalesce("on_cycle", F.lit(False)).alias("on_cycle"))
     )
 
@@ -249,3 +253,42 @@ def root_paths(edges: DataFrame, node_ids: DataFrame | None = None) -> DataFrame
         hop = nxt
     out = hop if node_ids is None else hop.join(wanted, "node", "left_semi")
     return out.select(F.col("node").alias("concept_id"), F.col("root").alias("root_id"), "path")
+
+
+def longest_walk(edges: DataFrame) -> int:
+    """Most edges on a path of an acyclic graph; 0 without edges."""
+    return int(_climb(edges).filter("at_root").agg(F.coalesce(F.max("most"), F.lit(0))).first()[0])
+
+
+def shortcut_edges(edges: DataFrame, loops: DataFrame | None = None) -> DataFrame:
+    """Edges (child, parent) whose parent is also reached from the child without them, itself not passed again.
+
+    Off cycles that is: another parent of the child has the edge's parent as ancestor. Where another parent is
+    on one cycle with the child, what it reaches without passing the child is found within that cycle's part
+    first, and beyond it from there.
+    """
+    edges = materialize(edges.filter("child <> parent").select("child", "parent").distinct())
+    loops = cycle_nodes(edges) if loops is None else loops
+    above = materialize(ancestor_pairs(edges).select(F.col("node").alias("via"), F.col("ancestor").alias("parent")))
+    part = loops.select(F.col("node").alias("child"), F.col("part").alias("p1"))
+    other = loops.select(F.col("node").alias("via"), F.col("part").alias("p2"))
+    starts = edges.withColumnRenamed("parent", "via").join(part, "child", "left").join(other, "via", "left")
+    inside = F.col("p1").isNotNull() & F.col("p1").eqNullSafe(F.col("p2"))
+    outer = starts.filter(~inside).select("child", "via")
+    # reach without the child, within the part: rows (child, start, via)
+    inner_edges = materialize(edges.join(part, "child").join(loops.select(F.col("node").alias("parent"), F.col("part").alias("p2")), "parent").filter("p1 = p2").select(F.col("child").alias("via"), F.col("parent").alias("nxt")))
+    seen = materialize(starts.filter(inside).select("child", F.col("via").alias("start"), "via"))
+    new = seen
+    while new.take(1):
+        step = new.join(inner_edges, "via").filter("nxt <> child").select("child", "start", F.col("nxt").alias("via")).distinct()
+        new = materialize(step.join(seen, ["child", "start", "via"], "left_anti"))
+        seen = materialize(seen.unionByName(new))
+    exits = edges.select(F.col("child").alias("via"), F.col("parent").alias("out")).join(other, "via").join(loops.select(F.col("node").alias("out"), F.col("part").alias("p3")), "out", "left").filter("p3 is null or p3 <> p2")
+    left = seen.join(exits.select("via", "out"), "via").select("child", "start", F.col("out").alias("via")).distinct()
+    reached = (
+        outer.select("child", F.col("via").alias("start"), "via").join(above, "via").select("child", "start", "parent")
+        .unionByName(seen.select("child", "start", F.col("via").alias("parent")))
+        .unionByName(left.select("child", "start", F.col("via").alias("parent")))
+        .unionByName(left.join(above, "via").select("child", "start", "parent"))
+    )
+    return edges.join(reached.filter("start <> parent").select("child", "parent").distinct(), ["child", "parent"], "left_semi")
