@@ -26,9 +26,9 @@ def bucket(trigram: Column, dim: int = DIM) -> Column:
 
 def trigrams(texts: DataFrame, keys: list[str], padded: Column) -> DataFrame:
     """(keys, gram): the trigrams of a text, a row each; texts under three characters have none."""
-    c, most = F.col("_c"), 2**31 - 1
-    pairs = F.zip_with(c, F.slice(c, 2, most), lambda x, y: F.concat(x, y))
-    grams = F.filter(F.zip_with(pairs, F.slice(c, 3, most), lambda x, y: F.concat(x, y)), lambda g: g.isNotNull())
+    c, most = F.col("_c"), F.size("_c")
+    pairs = F.zip_with(c, F.slice(c, F.lit(2), most), lambda x, y: F.concat(x, y))
+    grams = F.filter(F.zip_with(pairs, F.slice(c, F.lit(3), most), lambda x, y: F.concat(x, y)), lambda g: g.isNotNull())
     return texts.select(*keys, chars(padded).alias("_c")).filter(F.size("_c") > 2).select(*keys, F.explode(grams).alias("gram"))
 
 
