@@ -51,9 +51,11 @@ LEVEL = -16.0  # log2 of a pair's term of the mutual information at which it is
 LEAST_RUN = 3.0
 STRAY = 20.0  # bits more that a sequence must gain in a word with other characters that would be stray bytes
 LEAST_WORD = 4.0  # bits by which a further word must gain from a swap that holds elsewhere in its text
+ASCII_LETTERS = np.array([*range(65, 91), *range(97, 123)])
 BLANKS = " \n\t\r"
 WORD = re.compile(r"[^ \n\t\r]+")
 HIGH = re.compile(r"[^\x00-\x7f]")
+EAST_LETTER = re.compile("[\u2e80-\u9fff\uac00-\ud7a3]")
 KANA = re.compile("[ぁ-ヾ]")
 
 
@@ -254,6 +256,8 @@ def _undo_utf8(text: str, a: int, b: int, model: PairModel) -> tuple[str, float]
             if not model.known[classes_of(points_of(again))].all() or any(0x7F < ord(ch) < 0xA0 for ch in again):
                 continue
             before, after = text[max(0, m.start() - 1) : m.start()] or "\n", text[m.end() : m.end() + 1] or "\n"
+            if len(EAST_LETTER.findall(again)) == 1 and not EAST_LETTER.search(before + after):
+                continue  # one such letter alone is no text
             stray = STRAY * (_stray(text, m, tool) > 0)
             more = model.bits(before + again + after) - model.bits(before + m.group() + after)
             if more > SEQUENCE_MARGIN + extra + stray:
@@ -304,7 +308,7 @@ def _swap_classes() -> tuple[np.ndarray, np.ndarray]:
 
 def _word_gains(text: str, words: list[re.Match], model: PairModel, only: int | None = None) -> np.ndarray:
     """Bits that each word (column) gains by each swap (row) beyond those of its reading as look-alike letters;
-    a word with characters that the misreading cannot give gains none."""
+    a word with characters that the misreading cannot give, or that would mix scripts, gains none."""
     to, readable = _swap_classes()
     if only is not None:
         to, readable = to[[only, -1]], readable[[only, -1]]
@@ -312,9 +316,14 @@ def _word_gains(text: str, words: list[re.Match], model: PairModel, only: int |
     d = to[:, c]
     zero = np.zeros((len(d), 1))
     total = np.hstack([zero, np.cumsum(model.cond[d[:, :-1], d[:, 1:]] - model.cond[c[:-1], c[1:]], axis=1, dtype=np.float64)])
+    latin = np.isin(c[1:-1], ASCII_LETTERS)
+    foreign = (d[:, 1:-1] != c[1:-1]) & (d[:, 1:-1] >= 0x370) & (d[:, 1:-1] < 0x530)
     odd = np.hstack([zero, np.cumsum(~readable[:, c[1:-1]], axis=1)])
+    mixed = np.hstack([zero, np.cumsum(foreign, axis=1)])
+    plain = np.concatenate([[0], np.cumsum(latin)])
     first, last = np.array([m.start() for m in words]), np.array([m.end() for m in words])
-    gains = np.where(odd[:, last] > odd[:, first], -MARGIN, total[:, last + 1] - total[:, first])
+    wrong = (odd[:, last] > odd[:, first]) | ((mixed[:, last] > mixed[:, first]) & (plain[last] > plain[first]))
+    gains = np.where(wrong, -MARGIN, total[:, last + 1] - total[:, first])
     return gains[:-1] - np.maximum(gains[-1], 0.0)
 
 
