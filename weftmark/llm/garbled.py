@@ -52,6 +52,7 @@ LEAST_RUN = 3.0
 STRAY = 20.0  # bits more that a sequence must gain in a word with other characters that would be stray bytes
 LEAST_WORD = 4.0  # bits by which a further word must gain from a swap that holds elsewhere in its text
 ASCII_LETTERS = np.array([*range(65, 91), *range(97, 123)])
+MARKS = ".,:;!?\"'()"
 BLANKS = " \n\t\r"
 WORD = re.compile(r"[^ \n\t\r]+")
 HIGH = re.compile(r"[^\x00-\x7f]")
@@ -72,6 +73,7 @@ def _class_table() -> np.ndarray:
 
 
 _CLASS = _class_table()
+_LETTER = np.array([chr(p).isalpha() for p in [*range(1536), *(p for low, high in KEPT for p in range(low, high))]] + [True] * (SIZE - OTHER))
 
 
 def classes_of(points: np.ndarray) -> np.ndarray:
@@ -308,7 +310,7 @@ def _swap_classes() -> tuple[np.ndarray, np.ndarray]:
 
 def _word_gains(text: str, words: list[re.Match], model: PairModel, only: int | None = None) -> np.ndarray:
     """Bits that each word (column) gains by each swap (row) beyond those of its reading as look-alike letters;
-    a word with characters that the misreading cannot give, or that would mix scripts, gains none."""
+    a word with characters that the misreading cannot give, or that would mix scripts or take letters from a plain word, gains none."""
     to, readable = _swap_classes()
     if only is not None:
         to, readable = to[[only, -1]], readable[[only, -1]]
@@ -320,9 +322,11 @@ def _word_gains(text: str, words: list[re.Match], model: PairModel, only: int |
     foreign = (d[:, 1:-1] != c[1:-1]) & (d[:, 1:-1] >= 0x370) & (d[:, 1:-1] < 0x530)
     odd = np.hstack([zero, np.cumsum(~readable[:, c[1:-1]], axis=1)])
     mixed = np.hstack([zero, np.cumsum(foreign, axis=1)])
+    lost = np.hstack([zero, np.cumsum(_LETTER[c[1:-1]] & ~_LETTER[d[:, 1:-1]], axis=1)])
     plain = np.concatenate([[0], np.cumsum(latin)])
+    natural = np.array([natural_word(m.group().strip(MARKS)) for m in words])
     first, last = np.array([m.start() for m in words]), np.array([m.end() for m in words])
-    wrong = (odd[:, last] > odd[:, first]) | ((mixed[:, last] > mixed[:, first]) & (plain[last] > plain[first]))
+    wrong = (odd[:, last] > odd[:, first]) | ((mixed[:, last] > mixed[:, first]) & (plain[last] > plain[first])) | (natural & (lost[:, last] > lost[:, first]))
     gains = np.where(wrong, -MARGIN, total[:, last + 1] - total[:, first])
     return gains[:-1] - np.maximum(gains[-1], 0.0)
 
