@@ -7,8 +7,11 @@ executor shares (``spark.checkpoint.dir``); losing an executor never loses an in
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +19,23 @@ from pyspark.sql import functions as F
 _written: list[tuple[SparkSession, str]] = []
 
 
+ROOT = Path(__file__).resolve().parent
+
+
+def ship(spark: SparkSession) -> None:
+    """Give this package to the workers, once a context, unless their path has it already."""
+    home = str(ROOT.parent)
+    sc = spark.sparkContext
+    if home in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_weftmark_shipped", False):
+        return
+    target = Path(tempfile.mkdtemp(prefix="weftmark-ship-")) / "weftmark.zip"
+    with zipfile.ZipFile(target, "w") as z:
+        for path in sorted(ROOT.rglob("*.py")):
+            z.write(path, path.relative_to(ROOT.parent))
+    sc.addPyFile(str(target))
+    sc._weftmark_shipped = True
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The shared folder of the session; a private one only where the session names none (tests)."""
     sc = spark.sparkContext
@@ -66,17 +86,6 @@ def _clean() -> None:
             return
 
 
-def scalar(df: DataFrame):
-    """A one-row, one-column frame as a scalar subquery column."""
-    return df.scalar()
-
-
-def heavy_keys(counts: DataFrame, key: str, weight: str, parts: int = 2000) -> DataFrame:
-    """Keys that hold more than 1/``parts`` of the total weight: at most ``parts`` rows by construction."""
-    total = counts.agg(F.sum(weight)).scalar()
-    return counts.filter(F.col(weight) * parts > total).select(key)
-
-
 def skew_join(big: DataFrame, small: DataFrame, key: str, weight: str, parts: int = 2000) -> DataFrame:
     """Inner join of ``big`` with ``small`` on ``key`` where few keys may hold most of ``big``.
 
