@@ -27,6 +27,7 @@ from weftmark.runtime import materialize
 SAMPLE = 65_536  # rows on which rotation and centroids are fitted
 BLOCKS = (24, 44)  # coordinates after which candidates are tested
 TEST = 2.1  # e of the test
+SPARSE = 0.04  # share of candidates left from which they are taken one by one
 CANDIDATES, QUERIES = 4096, 16_384  # most candidates and queries of a group
 PROBES = 12
 
@@ -68,31 +69,46 @@ def _binary(rows: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows, dtype=np.float32))])
 
 
+def _first_bound(q: np.ndarray, ids: np.ndarray, items: np.ndarray, item_ids: np.ndarray, far: np.ndarray, k: int, least: float) -> np.ndarray:
+    """Product that a candidate must reach: that of the k-th of the items nearest so far, ``least`` at least."""
+    bound = np.full(len(q), least, dtype=np.float32)
+    if len(items) > 2 * k:
+        seeds = np.argpartition(far, 2 * k - 1, axis=1)[:, : 2 * k]
+        full = np.einsum("qd,qsd->qs", q, items[seeds])
+        full[ids[:, None] == item_ids[seeds]] = -9.0
+        bound = np.maximum(bound, np.partition(full, k, axis=1)[:, k])
+    return bound
+
+
 def scan(queries: np.ndarray, query_ids: np.ndarray, items: np.ndarray, item_ids: np.ndarray, k: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query id, item id, product) of up to ``k`` best items of each query with product ``least`` or more, itself left out."""
     dims = items.shape[1]
     cuts = [*(c for c in BLOCKS if c < dims), dims]
-    factor = [dims / c / (1 + TEST / math.sqrt(c)) ** 2 for c in cuts]
-    head = np.ascontiguousarray(items[:, : cuts[0]].T)
-    head_norm = (head * head).sum(axis=0)
+    factor = [dims / c / (1 + TEST / math.sqrt(c)) ** 2 for c in cuts[:-1]] + [1.0]
+    columns = [np.ascontiguousarray(items[:, a:b].T) for a, b in zip([0, *cuts], cuts)]
+    norms = [(x * x).sum(axis=0) for x in columns]
     out_q, out_i, out_v = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.float32)]
     for at in range(0, len(queries) if len(items) else 0, 512):
         q, ids = queries[at : at + 512], query_ids[at : at + 512]
-        far = (q[:, : cuts[0]] ** 2).sum(axis=1)[:, None] + head_norm[None, :] - 2 * (q[:, : cuts[0]] @ head)
-        far[ids[:, None] == item_ids[None, :]] = 99.0
-        bound = np.full(len(q), least, dtype=np.float32)
-        if len(items) > 2 * k:  # a first bound from the full products of the items nearest so far
-            seeds = np.argpartition(far, 2 * k - 1, axis=1)[:, : 2 * k]
-            full = np.einsum("qd,qsd->qs", q, items[seeds])
-            full[ids[:, None] == item_ids[seeds]] = -9.0
-            bound = np.maximum(bound, np.partition(full, k, axis=1)[:, k])
-        limit = np.maximum(2 - 2 * bound, 0) + 1e-6
-        rows, cols = np.nonzero(far * factor[0] <= limit[:, None])
+        far = None
+        for n, (a, b) in enumerate(zip([0, *cuts], cuts)):  # all candidates, as long as many are left
+            part = q[:, a:b]
+            gap = (part * part).sum(axis=1)[:, None] + norms[n][None, :] - 2 * (part @ columns[n])
+            if far is None:
+                far = gap
+                far[ids[:, None] == item_ids[None, :]] = 99.0
+                limit = np.maximum(2 - 2 * _first_bound(q, ids, items, item_ids, far, k, least), 0) + 1e-6
+            else:
+                far += gap
+            keep = far * factor[n] <= limit[:, None]
+            if n + 1 == len(cuts) or np.count_nonzero(keep) < SPARSE * keep.size:
+                break
+        rows, cols = np.nonzero(keep)
         value = far[rows, cols]
-        for a, b, f in zip(cuts, cuts[1:], factor[1:]):
+        for a, b, f in zip(cuts[n:], cuts[n + 1 :], factor[n + 1 :]):  # then only those left
             gap = q[rows, a:b] - items[cols, a:b]
             value = value + np.einsum("ij,ij->i", gap, gap)
-            keep = value * (f if b < dims else 1.0) <= limit[rows]
+            keep = value * f <= limit[rows]
             rows, cols, value = rows[keep], cols[keep], value[keep]
         value = 1 - value / 2
         keep = value > -2.0
