@@ -21,9 +21,9 @@ def reach(edges, start, without=None):
 
 def graphs():
     rnd = random.Random(7)
-    for n, m in ((6, 7), (9, 16), (14, 18)):
+    for n, m in ((9, 16), (14, 18)):
         yield {(f"n{rnd.randrange(n)}", f"n{rnd.randrange(n)}") for _ in range(m)}
-    yield {(f"c{i:03}", f"c{i + 1:03}") for i in range(150)} | {("c010", "c005")}
+    yield {(f"c{i:03}", f"c{i + 1:03}") for i in range(70)} | {("c010", "c005")}
     yield {("a", "b"), ("b", "a"), ("b", "c"), ("x", "x"), ("x", "y")}
 
 
