@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftmark.functions.text import chars
-
 DIM = 64
+# An empty match before every code point that has two behind it captures the three; the second half of a
+# surrogate pair is no place to start.
+TRIGRAM = r"(?s)(?!\p{Cs})(?=(...))"
 
 
 def bucket(trigram: Column, dim: int = DIM) -> Column:
@@ -26,10 +27,7 @@ def bucket(trigram: Column, dim: int = DIM) -> Column:
 
 def trigrams(texts: DataFrame, keys: list[str], padded: Column) -> DataFrame:
     """(keys, gram): the trigrams of a text, a row each; texts under three characters have none."""
-    c, most = F.col("_c"), F.size("_c")
-    pairs = F.zip_with(c, F.slice(c, F.lit(2), most), lambda x, y: F.concat(x, y))
-    grams = F.filter(F.zip_with(pairs, F.slice(c, F.lit(3), most), lambda x, y: F.concat(x, y)), lambda g: g.isNotNull())
-    return texts.select(*keys, chars(padded).alias("_c")).filter(F.size("_c") > 2).select(*keys, F.explode(grams).alias("gram"))
+    return texts.select(*keys, F.explode(F.regexp_extract_all(padded, F.lit(TRIGRAM), F.lit(1))).alias("gram"))
 
 
 def trigram_buckets(texts: DataFrame, keys: list[str], text: str, dim: int = DIM) -> DataFrame:
