@@ -55,6 +55,25 @@ def test_selection_and_shares(spark):
     assert abs({r["source"]: r["share"] for r in long_windows}["big"] - 7 / 9) < 0.15
 
 
+def test_a_budget_of_long_lengths_only():
+    counts = dict.fromkeys(range(9000, 30000, 7), 1)
+    budget = sum(counts) // 2
+    taken = M.fit_budget(counts, budget)
+    assert sum(k * n for k, n in taken.items()) == budget and all(n <= 1 for n in taken.values())
+    assert abs(sum(k * n for k, n in taken.items() if k > 20000) / budget - sum(k for k in counts if k > 20000) / sum(counts)) < 0.01
+    huge = {3_000_000 + 1000 * i: 1 for i in range(40)}
+    assert abs(sum(k * n for k, n in M.fit_budget(huge, 60_500_000).items()) - 60_500_000) < 1_000_000
+
+
+def test_a_source_of_long_documents_reaches_its_share(spark):
+    docs = [(i, "books", "word " * (9000 + 37 * i)) for i in range(40)] + [(100 + i, "notes", "word " * (50 + i % 50)) for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("books", 0.5, 1), ("notes", 0.5, 1)], "source string, weight double, max_repeats int")
+    selection, shares = M.mix(df, targets)
+    assert min(r["n_tokens"] for r in selection.filter("source = 'books'").collect()) > M.WINDOW
+    assert all(abs(r["share"] - 0.5) < 0.02 for r in shares.collect())
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     targets = spark.createDataFrame([("big", 1.0, 1)], "source string, weight double, max_repeats int")

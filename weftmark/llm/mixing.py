@@ -4,9 +4,9 @@ Documents are counted by (source, exact token length). For every source the budg
 over all its documents, then by a quota of documents of each length, then by a bounded-knapsack dynamic
 program for what is left, and last by taking, within each length, the documents first in a seeded order.
 
-Only length counts reach the driver: at most ``window`` lengths a source of the target table. Documents
-longer than ``window`` tokens are counted in bins and take part in the quota; the knapsack needs only the
-short ones.
+Only length counts reach the driver, one a distinct length of a source of the target table. k distinct
+lengths need k * k / 2 tokens at least, so they grow at most as the root of a source's tokens. Long documents
+take part in quota and knapsack like all others.
 """
 
 from __future__ import annotations
@@ -22,9 +22,10 @@ from pyspark.sql.window import Window
 from weftmark.llm.tokenize import encode_texts
 from weftmark.runtime import materialize
 
-WINDOW = 8192  # longest token length that is counted exactly
+WINDOW = 8192
 SLACK = 65536  # tokens of a source's budget that the knapsack fills
 SLICES = 1024
+CELLS = 2_000_000_000  # bits that the sums of a knapsack larger than the slack may take
 
 
 def fit_budget(counts: dict[int, int], budget: int, slack: int = SLACK, seed: int = 0) -> dict[int, int]:
@@ -33,7 +34,8 @@ def fit_budget(counts: dict[int, int], budget: int, slack: int = SLACK, seed: in
     ``counts``: documents available by length (1 or more). All but ``slack`` of the budget goes to the lengths in
     proportion, the rounding carried from length to length; the rest is filled by a bounded-knapsack program
     over what is still free, in a seeded order of the lengths. A budget up to ``slack`` is met as well as any
-    choice can meet it. All sums are exact integers.
+    choice can meet it. The quota leaves less than ``slack`` and the longest length; a knapsack over more than
+    ``slack`` stops adding lengths at CELLS bits. All sums are exact integers.
     """
     total = sum(length * n for length, n in counts.items())
     if budget >= total:
@@ -48,14 +50,17 @@ def fit_budget(counts: dict[int, int], budget: int, slack: int = SLACK, seed: in
     # sums reachable with the first i groups as bits of one integer; groups double, so n copies take log n groups
     groups, reach = [], [1]
     mask = (1 << (rest + 1)) - 1
+    most = CELLS // (rest + 1) if rest > slack else math.inf
     order = sorted(counts)
     random.Random(seed).shuffle(order)
     for length in order:
         free, step = min(counts[length] - taken[length], rest // length), 1
-        while free > 0 and not reach[-1] >> rest & 1:
+        while free > 0 and not reach[-1] >> rest & 1 and len(reach) < most:
             step = min(step, free)
-            groups.append((length, step))
-            reach.append((reach[-1] | reach[-1] << (length * step)) & mask)
+            more = (reach[-1] | reach[-1] << (length * step)) & mask
+            if more != reach[-1]:
+                groups.append((length, step))
+                reach.append(more)
             free -= step
             step *= 2
     at = reach[-1].bit_length() - 1
@@ -93,7 +98,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 0, total_tokens: i
     short table). Selection: (doc_id, source, n_tokens, copies) with copies from 1 to max_repeats. Shares:
     (source, weight, available_tokens, target_tokens, tokens, documents, share), one row a target source.
     Documents of no target source, of null source, or without tokens are not selected. Equal lengths are
-    ordered by a seeded hash of doc_id, then doc_id.
+    ordered by a seeded hash of doc_id, then doc_id. ``window`` has no effect: every length is counted exactly.
     """
     spark = documents.sparkSession
     wanted = {r["source"]: (r["weight"], r["max_repeats"]) for r in targets.collect() if r["source"] is not None}
@@ -105,41 +110,25 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 0, total_tokens: i
         .withColumn("order", F.xxhash64(F.lit(seed), "doc_id"))
         .withColumn("slice", F.pmod("order", F.lit(SLICES)).cast("int"))
     )
-    # long documents share a bin of lengths equal to 1 part in 64, counted by the bin's sum
-    length = F.when(F.col("n_tokens") <= window, F.col("n_tokens")).otherwise(F.floor(F.log2(F.col("n_tokens")) * 64) + window)
-    counted = sized.withColumn("bin", length.cast("long"))
-    rows = counted.groupBy("source", "bin").agg(F.count("*").alias("n"), F.sum("n_tokens").alias("tokens")).collect()
-    by_source: dict[str, dict[int, tuple[int, int]]] = {}
+    rows = sized.groupBy("source", "n_tokens").agg(F.count("*").alias("n")).collect()
+    by_source: dict[str, dict[int, int]] = {}
     for r in rows:
-        by_source.setdefault(r["source"], {})[r["bin"]] = (r["n"], r["tokens"])
-    sizes = {s: sum(t for _, t in bins.values()) for s, bins in by_source.items()}
+        by_source.setdefault(r["source"], {})[r["n_tokens"]] = r["n"]
+    sizes = {s: sum(length * n for length, n in counts.items()) for s, counts in by_source.items()}
     passes = plan(sizes, wanted, total_tokens)
-    quota = []
-    for s, (whole, rest) in passes.items():
-        short = {b: n for b, (n, _) in by_source[s].items() if b <= window}
-        long_ = {b: v for b, v in by_source[s].items() if b > window}
-        left = rest
-        for b, (n, tokens) in sorted(long_.items(), reverse=True):
-            # a bin's share, at its mean length rounded up, so that the budget holds whichever are taken
-            upper = math.floor(2 ** ((b - window + 1) / 64)) + 1
-            take = min(n, rest * n // sizes[s], left // upper)
-            if take:
-                quota.append((s, b, take, whole))
-                left -= take * upper
-        taken = fit_budget(short, left, seed=seed) if short else {}
-        quota += [(s, b, n, whole) for b, n in taken.items()]
-    quotas = spark.createDataFrame(quota, "source string, bin long, quota long, whole long") if quota else spark.createDataFrame([], "source string, bin long, quota long, whole long")
+    quota = [(s, length, n) for s, (_, rest) in passes.items() for length, n in fit_budget(by_source[s], rest, seed=seed).items() if n]
+    quotas = spark.createDataFrame(quota, "source string, n_tokens long, quota long")
     whole = spark.createDataFrame([(s, w) for s, (w, _) in passes.items()], "source string, whole long")
     # rank in the seeded order without one task a length: ranks within slices, and counts of the slices before
-    per_slice = counted.groupBy("source", "bin", "slice").agg(F.count("*").alias("n"))
-    before = F.sum("n").over(Window.partitionBy("source", "bin").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
-    offsets = per_slice.select("source", "bin", "slice", F.coalesce(before, F.lit(0)).alias("before"))
-    in_slice = F.row_number().over(Window.partitionBy("source", "bin", "slice").orderBy("order", "doc_id"))
+    per_slice = sized.groupBy("source", "n_tokens", "slice").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("source", "n_tokens").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = per_slice.select("source", "n_tokens", "slice", F.coalesce(before, F.lit(0)).alias("before"))
+    in_slice = F.row_number().over(Window.partitionBy("source", "n_tokens", "slice").orderBy("order", "doc_id"))
     selection = materialize(
-        counted.withColumn("at", in_slice)
-        .join(offsets, ["source", "bin", "slice"])
+        sized.withColumn("at", in_slice)
+        .join(offsets, ["source", "n_tokens", "slice"])
         .join(F.broadcast(whole), "source")
-        .join(F.broadcast(quotas.drop("whole")), ["source", "bin"], "left")
+        .join(F.broadcast(quotas), ["source", "n_tokens"], "left")
         .withColumn("copies", F.col("whole") + (F.col("at") + F.col("before") <= F.coalesce("quota", F.lit(0))).cast("long"))
         .filter("copies > 0")
         .select("doc_id", "source", "n_tokens", "copies")
