@@ -58,6 +58,42 @@ def test_one_encoding_read_as_another(model, read, true, text):
     assert runs and fresh == text
 
 
+@pytest.mark.parametrize("read", G.WIDE_READ)
+@pytest.mark.parametrize("text", [CLEAN[0], CLEAN[3], CLEAN[5]])
+def test_utf8_read_as_two_bytes(model, read, text):
+    tried = 0
+    for word in text.split():
+        try:
+            garbled = word.encode().decode(read)
+        except UnicodeDecodeError:
+            continue
+        if not word.isascii() and len(word.encode()) - len(word) > 3 and garbled.encode(read) == word.encode():
+            tried += 1
+            fresh, runs, whole = G.restore(garbled, model)
+            assert runs and whole and fresh == word
+    assert tried or text != CLEAN[3] or read not in ("gbk", "cp932")
+
+
+def test_rare_letters_of_a_large_corpus(model):
+    table = np.zeros(G.SIZE * G.SIZE, dtype=np.int64)
+    for t in corpus():
+        c = G.classes_of(G.points_of("\n" + t + "\n"))
+        np.add.at(table, c[:-1].astype(np.int64) * G.SIZE + c[1:], 1000)
+    c = G.classes_of(G.points_of(" Dvořák "))
+    np.add.at(table, c[:-1].astype(np.int64) * G.SIZE + c[1:], 3)
+    pairs = np.flatnonzero(table)
+    garbled = "Dvo" + "řá".encode().decode("latin-1") + "k"
+    assert G.restore("plain words by " + garbled, G.PairModel(pairs, table[pairs]))[0] == "plain words by Dvořák"
+
+
+def test_found_without_a_mapping(model):
+    for text in ("plain words by Dvo" + "řá".encode().decode("latin-1") + "k", "plain â€½ words", "mÃƒÂ\xadnima"):
+        _, runs, whole = G.restore(text, model)
+        assert runs or not whole
+    for text in ("MAÇÃ” e “ATENÇÃO”", "“É”", "soft\xadhyphen"):
+        assert G.restore(text, model)[1:] == (0, True)
+
+
 def test_tables(spark):
     rows = [(i, t) for i, t in enumerate(corpus())]
     bad = [(90_001, "Größe über Wärme".encode().decode("latin-1")), (90_002, "F��r die Brücke"), (90_003, None), (90_004, ""), (90_001, "Größe über Wärme".encode().decode("latin-1"))]

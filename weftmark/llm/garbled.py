@@ -9,8 +9,11 @@
 3. Inside runs inverse mappings are tested: UTF-8 read as a single-byte encoding (also more than once),
    East Asian encodings likewise, and one single-byte encoding read as another. A mapping holds if what it
    gives is more probable, in bits, under the corpus' pair model, by a margin where it keeps the length.
+4. UTF-8 read as a two-byte encoding gives East Asian letters, which share a class and make no improbable
+   run; every stretch that is UTF-8 once encoded again is tried, at a price for each letter of a shared class.
 
-U+FFFD is itself the mark of wrong decoding; such text is found, and stays as it is.
+U+FFFD is itself the mark of wrong decoding; such text is found, and stays as it is. So are C1 controls beside
+letters, and sequences that are UTF-8 read as Windows or ISO Latin 1 beyond doubt although no mapping gains.
 """
 
 from __future__ import annotations
@@ -42,11 +45,14 @@ SWAPS = (
     ("cp1251", "cp1252"), ("cp1250", "cp1252"), ("cp1252", "cp1250"), ("cp1253", "cp1252"), ("cp437", "cp866"), ("cp1251", "mac_roman"), ("cp866", "cp1252"), ("koi8-r", "cp1252"),
 )
 EAST = ("euc_jp", "shift_jis")
+# Two-byte encodings as which UTF-8 is misread.
+WIDE_READ = ("gbk", "cp932", "big5", "euc_jp", "cp949")
 LATIN_READ = ("cp1252", "mac_roman", "cp437", "cp1251", "cp850")
 MARGIN = 15.0  # bits by which a mapping that keeps the length must gain
 SEQUENCE_MARGIN = 4.0  # bits by which a misread UTF-8 sequence must gain
 RARE_ENCODING = 3.0  # bits more that readings through the encodings after the first two must gain
-KNOWN = 2e-7  # share of all characters from which a class counts as one the corpus uses
+KNOWN = 2e-7  # share of all characters from which a class counts as one the corpus uses,
+KNOWN_LEAST = 2  # or as many occurrences, however large the corpus
 LEVEL = -16.0  # log2 of a pair's term of the mutual information at which it is neither probable nor improbable
 LEAST_RUN = 3.0
 STRAY = 20.0  # bits more that a sequence must gain in a word with other characters that would be stray bytes
@@ -58,6 +64,10 @@ WORD = re.compile(r"[^ \n\t\r]+")
 HIGH = re.compile(r"[^\x00-\x7f]")
 EAST_LETTER = re.compile("[\u2e80-\u9fff\uac00-\ud7a3]")
 KANA = re.compile("[ぁ-ヾ]")
+WIDE = re.compile("[\u2e80-\u9fff\uac00-\ud7a3\uff61-\uff9f]")
+NOT_ASCII = re.compile(r"[^\x00-\x7f]+")
+SEQUENCES = re.compile(rb"(?:[\xc2-\xdf][\x80-\xbf]|[\xe0-\xef][\x80-\xbf]{2}|[\xf0-\xf4][\x80-\xbf]{3})+")
+WIDE_BITS, KANA_BITS = 8.0, 5.0  # what a letter of a shared class costs beside its class
 
 
 def _class_table() -> np.ndarray:
@@ -172,6 +182,18 @@ def suspicious_spans(text: str) -> list[tuple[int, int]]:
     return out
 
 
+STRAY_CONTROL = re.compile("[^\\W\\d_][\x80-\x84\x86-\x9f]|[\x80-\x84\x86-\x9f][^\\W\\d_]")
+
+
+def evident(text: str) -> bool:
+    """Whether a text holds C1 controls beside letters, or misread UTF-8 of two sequences or one of three bytes."""
+    if STRAY_CONTROL.search(text):
+        return True
+    latin = misreadings()[:2]
+    spans = (m.group() for tool in latin if any(ch in tool.leads for ch in HIGH.findall(text)) for m in tool.pattern.finditer(text))
+    return any(len(span) > 2 and not natural_word(span) and any(tool.undo(span) is not None for tool in latin if set(span) <= tool.bytes.keys()) for span in spans)
+
+
 def pair_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """(pair, n): adjacent pairs of classes over all texts; pair = a * SIZE + b, a text's ends count as line ends."""
 
@@ -206,7 +228,7 @@ class PairModel:
         total = max(float(table.sum(dtype=np.float64)), 1.0)
         left = table.sum(axis=1, dtype=np.float64)
         right = (table.sum(axis=0, dtype=np.float64) + total * 1e-7) / (total * (1 + 1e-7 * SIZE))
-        self.known = left / total >= KNOWN
+        self.known = left >= min(KNOWN * total, KNOWN_LEAST)
         prior = 20.0 + total * 1e-6
         self.cond = np.log2((table + prior * right) / (left[:, None] + prior)).astype(np.float32)
         joint = table / total
@@ -254,10 +276,14 @@ def _undo_utf8(text: str, a: int, b: int, model: PairModel) -> tuple[str, float]
             fresh = tool.undo(m.group())
             if fresh is None:
                 continue
+            before, after = text[max(0, m.start() - 1) : m.start()] or "\n", text[m.end() : m.end() + 1] or "\n"
             again = restore(fresh, model, deep=False)[0]
+            if again == fresh:
+                # in its place a second layer may gain what it doesn't alone
+                layers = (t.undo(fresh) for t in misreadings()[:2] if t.pattern.fullmatch(fresh))
+                again = max([fresh, *(x for x in layers if x is not None)], key=lambda x: model.bits(before + x + after))
             if not model.known[classes_of(points_of(again))].all() or any(0x7F < ord(ch) < 0xA0 for ch in again):
                 continue
-            before, after = text[max(0, m.start() - 1) : m.start()] or "\n", text[m.end() : m.end() + 1] or "\n"
             if len(EAST_LETTER.findall(again)) == 1 and not EAST_LETTER.search(before + after):
                 continue  # one such letter alone is no text
             stray = STRAY * (_stray(text, m, tool) > 0)
@@ -288,6 +314,54 @@ def _undo_east(text: str, a: int, b: int, model: PairModel) -> tuple[str, float]
     return None if best is None else (best, gain)
 
 
+@cache
+def _wide_bytes(ch: str, encoding: str) -> bytes:
+    return ch.encode(encoding, "replace")
+
+
+def _identity_bits(text: str) -> float:
+    kana = len(KANA.findall(text))
+    return KANA_BITS * kana + WIDE_BITS * (len(WIDE.findall(text)) - kana)
+
+
+def _undo_wide(text: str, model: PairModel) -> tuple[str, int]:
+    """The text with UTF-8 read as a two-byte encoding undone where that gains the margin, and the number of stretches."""
+    out, at, found = [], 0, 0
+    for run in NOT_ASCII.finditer(text) if WIDE.search(text) else ():
+        won: list[tuple[float, int, int, str]] = []
+        for encoding in WIDE_READ:
+            pieces = [_wide_bytes(ch, encoding) for ch in run.group()]
+            raw = b"".join(pieces)
+            place, n = {}, 0
+            for k, piece in enumerate([*pieces, b""]):
+                place[n] = run.start() + k
+                n += len(piece)
+            for m in SEQUENCES.finditer(raw):
+                # the last byte may be the first of a character whose second is ASCII
+                stop = m.end() + (m.end() not in place)
+                if m.start() not in place or stop not in place or (stop > m.end() and raw[m.end()] > 0x7F):
+                    continue
+                try:
+                    fresh = raw[m.start() : stop].decode("utf-8")
+                except UnicodeDecodeError:
+                    continue
+                a, b = place[m.start()], place[stop]
+                if not WIDE.search(text, a, b) or not model.known[classes_of(points_of(fresh))].all() or any(0x7F < ord(ch) < 0xA0 for ch in fresh):
+                    continue
+                before, after = text[max(0, a - 1) : a] or "\n", text[b : b + 1] or "\n"
+                gain = model.bits(before + fresh + after) - model.bits(before + text[a:b] + after) + _identity_bits(text[a:b]) - _identity_bits(fresh)
+                if gain > MARGIN:
+                    won.append((gain, a, b, fresh))
+        taken: list[tuple[int, int, str]] = []
+        for _, a, b, fresh in sorted(won, reverse=True):
+            if all(b <= x or a >= y for x, y, _ in taken):
+                taken.append((a, b, fresh))
+        for a, b, fresh in sorted(taken):
+            out += (text[at:a], fresh)
+            at, found = b, found + 1
+    return "".join([*out, text[at:]]), found
+
+
 @cache
 def _swap_classes() -> tuple[np.ndarray, np.ndarray]:
     """By swap and class: the class it becomes, and whether the misreading can give it. The last row is no swap:
@@ -368,6 +442,9 @@ def restore(text: str, model: PairModel, deep: bool = True, rounds: int = 6) ->
     for _ in range(rounds):
         if text.isascii():
             break
+        if deep:
+            text, wide = _undo_wide(text, model)
+            found += wide
         out, at, changed, swapped = [], 0, 0, set()
         for a, b in model.runs(text):
             a, b = max(at, a - 3), min(len(text), b + 3)
@@ -391,7 +468,7 @@ def restore(text: str, model: PairModel, deep: bool = True, rounds: int = 6) ->
         text = "".join([*out, text[at:]])
         for k in sorted(swapped):
             text = _spread_swap(text, k, model)
-    return text, found, "\ufffd" not in text
+    return text, found, "\ufffd" not in text and not (deep and not found and evident(text))
 
 
 _models: dict[int, PairModel] = {}
