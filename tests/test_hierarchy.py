@@ -48,6 +48,25 @@ def test_against_brute_force(spark, edges):
         assert path[0] == r["concept_id"] and path[-1] == r["root_id"] and all(e in edges for e in zip(path, path[1:]))
 
 
+def simple_paths(edges, path):
+    more = [p for c, p in edges if c == path[-1] and p not in path]
+    if not any(c == path[-1] for c, _ in edges):
+        yield path
+    for p in more:
+        yield from simple_paths(edges, (*path, p))
+
+
+@pytest.mark.parametrize("edges", [list(graphs())[0], {("a", "b"), ("a", "c"), ("b", "d"), ("c", "d"), ("a", "d"), ("d", "e"), ("u", "v"), ("v", "w"), ("w", "v")}])
+def test_all_simple_paths(spark, edges):
+    nodes = {x for e in edges for x in e}
+    loops = {x for x in nodes if x in reach(edges, x)}
+    to_root = {p for x in nodes for p in simple_paths(edges, (x,)) if len(p) > 1}
+    short = {(c, p) for c, p in edges if c not in loops}
+    to_cycle = {p for x in nodes for p in simple_paths(short, (x,)) if p[-1] in loops}
+    got = [tuple(r["path"]) for r in H.root_paths(frame(spark, edges)).collect()]
+    assert len(got) == len(set(got)) and set(got) == to_root | to_cycle
+
+
 def test_coloured_parts_equal_closure(spark, monkeypatch):
     rnd = random.Random(9)
     edges = {(f"n{rnd.randrange(20)}", f"n{rnd.randrange(20)}") for _ in range(34)}

@@ -218,41 +218,46 @@ def node_summary(edges: DataFrame) -> DataFrame:
     )
 
 
+def _paths_to(edges: DataFrame, tops: DataFrame) -> DataFrame:
+    """(node, end, path): every simple path along edges that ends in ``tops`` (node), which have no edges upwards.
+
+    Round k holds the open paths of exactly 2**k edges and the finished ones of at most that many.
+    """
+    mark = tops.select(F.col("node").alias("end"), F.lit(True).alias("done"))
+    front = materialize(
+        edges.filter("child <> parent").select(F.col("child").alias("node"), F.col("parent").alias("end"), F.array("child", "parent").alias("path"))
+        .join(mark, "end", "left")
+        .select("node", "end", "path", F.coalesce("done", F.lit(False)).alias("done"))
+    )
+    while front.filter("not done").take(1):
+        open_ = front.filter("not done").select("node", F.col("end").alias("via"), F.col("path").alias("low"))
+        on = front.select(F.col("node").alias("via"), "end", F.expr("slice(path, 2, size(path) - 1)").alias("high"), "done")
+        further = open_.join(on, "via").filter(~F.arrays_overlap("low", "high")).select("node", "end", F.concat("low", "high").alias("path"), "done")
+        nxt = materialize(front.filter("done").unionByName(further))
+        release(front)
+        front = nxt
+    return front.select("node", "end", "path")
+
+
 def root_paths(edges: DataFrame, node_ids: DataFrame | None = None) -> DataFrame:
-    """(concept_id, root_id, path): for every node and each root above it one shortest path up, the least
-    by its ids among equals, as an array from the node to the root.
+    """(concept_id, root_id, path): for every node all its simple paths up, as arrays from the node to their end.
 
-    One parent is kept for each (node, root): the least parent that is one step nearer. So the path of a
-    node extends its parent's, and the arrays are built by the same doubling as the distances.
+    A path ends at a root; besides, where a cycle is above, at the first node on one, with that node as
+    ``root_id``: the stretch up to the cycle. A node on a cycle has the path of itself alone as that stretch.
+    The size is that of all simple paths, which grows exponentially where many levels have several parents.
     """
     climbed = _climb(edges)
-    dist = climbed.filter("at_root").select(F.col("node"), F.col("end").alias("root"), "steps")
-    tops = dist.select(F.col("root").alias("node"), "root", F.lit(0).cast("long").alias("steps")).distinct()
-    known = materialize(dist.unionByName(tops))
-    nearer = known.select(F.col("node").alias("parent"), "root", (F.col("steps") + 1).alias("steps"))
-    hop = materialize(
-        known.filter("steps > 0").select(F.col("node").alias("child"), "root", "steps")
-        .join(edges, "child")
-        .join(nearer, ["parent", "root", "steps"])
-        .groupBy("child", "root", "steps")
-        .agg(F.min("parent").alias("parent"))
-        .select(F.col("child").alias("node"), "root", F.array("child", "parent").alias("path"), F.col("parent").alias("end"))
-    )
+    rooted = climbed.filter("at_root")
+    roots = rooted.select(F.col("end").alias("node")).distinct()
+    to_root = _paths_to(materialize(_within(edges, materialize(rooted.select("node").union(roots).distinct()))), roots)
+    loops = cycle_nodes(edges, climbed).select("node")
+    above = climbed.filter(~F.col("at_root")).select("node").distinct()
+    below = materialize(_within(edges, above).join(loops.select(F.col("node").alias("child")), "child", "left_anti"))
+    to_cycle = _paths_to(below, loops)
+    out = to_root.unionByName(to_cycle).unionByName(loops.select("node", F.col("node").alias("end"), F.array("node").alias("path")))
     if node_ids is not None:
-        wanted = node_ids.select(F.col(node_ids.columns[0]).alias("node"))
-    while True:
-        open_ = hop.filter("end <> root")
-        if not open_.take(1):
-            break
-        on = hop.select(F.col("node").alias("end"), "root", F.col("path").alias("on"), F.col("end").alias("next"))
-        nxt = materialize(
-            open_.join(on, ["end", "root"]).select("node", "root", F.concat("path", F.slice("on", 2, 1_000_000_000)).alias("path"), F.col("next").alias("end"))
-            .unionByName(hop.filter("end = root").select("node", "root", "path", "end"))
-        )
-        release(hop)
-        hop = nxt
-    out = hop if node_ids is None else hop.join(wanted, "node", "left_semi")
-    return out.select(F.col("node").alias("concept_id"), F.col("root").alias("root_id"), "path")
+        out = out.join(node_ids.select(F.col(node_ids.columns[0]).alias("node")), "node", "left_semi")
+    return out.select(F.col("node").alias("concept_id"), F.col("end").alias("root_id"), "path")
 
 
 def longest_walk(edges: DataFrame) -> int:
