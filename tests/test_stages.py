@@ -275,3 +275,14 @@ STEMS = {
 @pytest.mark.parametrize("word", list(STEMS))
 def test_stems(word):
     assert stem(word) == STEMS[word]
+
+
+def test_views_put_the_spelling_of_types_aside(spark, tmp_path):
+    from weftmark.queries import stages
+
+    spark.createDataFrame([(x, x.upper()) for x in "abc"], "id string, label string").write.parquet(f"{tmp_path}/concepts.parquet")
+    rows = [("IS_A", "a", "b"), (" is_a ", "b", "c"), ("Co_Occurs", "a", "c"), ("CO_OCCURS", "a", "c"), (None, "c", "a"), ("IS_A", "a", "x"), ("is_A", "c", "c")]
+    spark.createDataFrame(rows, "type string, source_id string, target_id string").write.parquet(f"{tmp_path}/relations.parquet")
+    assert sorted(map(tuple, stages.QUERIES["view_relations_plain"](spark, str(tmp_path)).collect())) == [("a", "b"), ("a", "x"), ("b", "c"), ("c", "c")]
+    got = {(r["id"], r["other_id"], r["type"]) for r in stages.QUERIES["view_neighbors_all"](spark, str(tmp_path)).collect()}
+    assert got == {("a", "b", "IS_A"), ("b", "a", "IS_A"), ("b", "c", "IS_A"), ("c", "b", "IS_A"), ("c", "c", "IS_A"), ("a", "c", "CO_OCCURS"), ("c", "a", "CO_OCCURS")}

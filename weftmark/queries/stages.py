@@ -179,12 +179,29 @@ def view_neighbors(spark, d):
     return view.neighbors(view.concepts().select("id"), "IS_A")
 
 
+def _plain_view(spark, d):
+    """View with the spelling of types put aside; null types and ends take no part."""
+    kind = F.upper(F.regexp_replace(F.trim("type"), " +", " "))
+    rows = table(spark, d, "relations").filter("type is not null and source_id is not null and target_id is not null")
+    return graph.GraphView(table(spark, d, "concepts").dropDuplicates(["id"]), rows.select(kind.alias("type"), "source_id", "target_id").distinct())
+
+
+def view_relations_plain(spark, d):
+    return _plain_view(spark, d).relations("IS_A").select("source_id", "target_id")
+
+
+def view_neighbors_all(spark, d):
+    """Relations of all types of every concept, in both directions."""
+    view = _plain_view(spark, d)
+    return view.neighbors(view.concepts().select("id"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         seg_block, seg_sentence, seg_turn, ext_token, ext_gazetteer, ext_gold_mentions, ext_gold_spans, score_frequency, score_passthrough, score_embedding_cosine, score_mderank, score_hcuke,
         embed_hashing, vec_cosine, store_nearest, resolve_exact, resolve_nn, induce_cooccurrence, induce_compound, induce_hearst, induce_union, graph_concepts, graph_relations, graph_delta,
-        pipeline_walking, view_find, view_relations, view_neighbors,
+        pipeline_walking, view_find, view_relations, view_neighbors, view_relations_plain, view_neighbors_all,
     )
 }
 
@@ -196,6 +213,7 @@ select doc_id, doc_id || ':u' || i as unit_id, i::int as unit_order, '{kind}' as
 
 _TOKEN = """toks as (select doc_pos, unit_order, unit_id, t, g, i from (select doc_pos, unit_order, unit_id, regexp_extract_all(text, '{p}') as t, regexp_split_to_array(text, '{p}') as g from {src}), unnest(range(len(t))) as x(i)),
 spans as (select doc_pos, unit_order, unit_id, i::int as ord, t[i + 1] as match, sum(length(g[i + 1]) + length(t[i + 1])) over (partition by doc_pos, unit_order order by i)::int as span_end from toks)"""
+_PLAIN = "e as (select distinct upper(regexp_replace(trim(type), ' +', ' ', 'g')) as type, source_id, target_id from relations where type is not null and source_id is not null and target_id is not null)"
 _DOC = "doc as (select doc_pos, string_agg(text, chr(10) order by unit_order) as text from u group by 1)"
 _COS = f"""{MENTIONS}, {_DOC},
 pairs as (select distinct doc_pos, doc_id, surface from m),
@@ -253,5 +271,9 @@ from res a join res b on a.doc_pos = b.doc_pos and a.unit_order = b.unit_order a
     "view_relations": "select distinct source_id, target_id from relations where type = 'IS_A'",
     "view_neighbors": """with e as (select distinct type, source_id, target_id from relations where type = 'IS_A'), c as (select distinct on (id) id, label from concepts order by id),
 o as (select source_id as id, target_id as other_id, * from e union all select target_id, source_id, * from e where source_id <> target_id)
+select o.id, o.other_id, b.label as other_label, o.type, o.source_id, o.target_id from o join c a on a.id = o.id join c b on b.id = o.other_id""",
+    "view_relations_plain": f"with {_PLAIN} select source_id, target_id from e where type = 'IS_A'",
+    "view_neighbors_all": f"""with {_PLAIN}, c as (select distinct on (id) id, label from concepts order by id),
+o as (select source_id as id, target_id as other_id, * from e union all select target_id, source_id, * from e where source_id <> target_id)
 select o.id, o.other_id, b.label as other_label, o.type, o.source_id, o.target_id from o join c a on a.id = o.id join c b on b.id = o.other_id""",
 }
