@@ -104,3 +104,15 @@ def test_bootstrap_jackknife_numbered(spark):
     assert {(r["key"], r["x"], r["kept"]) for r in left} == {(f"k{i:02}", 435.0 - i, 29) for i in range(30)}
     spread = stats.spread(df, "x").first()
     assert (spread["min"], spread["max"], spread["range"]) == (0.0, 29.0, 29.0)
+
+
+def test_order_runs_depend_on_the_order(spark, tmp_path):
+    from weftmark.queries import evaluation
+
+    # a chain of labels, each near the next alone: which are one concept depends on which comes first
+    names = [f"{'x' * (i // 4)}inter{'n' * (i % 4)}ational committee of clustering research {'ab' * i}" for i in range(24)]
+    rows = [(f"d{i:02}", [(0, len(x), x, f"g{i // 3}")]) for i, x in enumerate(names)]
+    spark.createDataFrame(rows, "id string, mentions array<struct<span_start: int, span_end: int, surface: string, cluster: string>>").write.parquet(f"{tmp_path}/mini_clusters_ecb.parquet")
+    got = {r["metric"]: r for r in evaluation.QUERIES["stats_order_runs"](spark, str(tmp_path)).collect()}
+    assert set(got) == {"b3_precision", "b3_recall", "b3_f1", "ari"}
+    assert got["b3_f1"]["range"] > 0 and all(r["min"] <= r["max"] for r in got.values())

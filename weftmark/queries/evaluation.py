@@ -3,13 +3,15 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from weftmark.operators import extract, hierarchy, metrics, score, segment
+from weftmark.operators import extract, hierarchy, metrics, resolve, score, segment
 from weftmark.plans import stats
 from weftmark.queries.common import MENTIONS, sql_low, sql_strip, sql_trigrams, table, units, mentions
 from weftmark.runtime import materialize
 
 SAMPLES, SEED = 100, 0
+ORDERS = 5
 
 
 def _concepts(spark, d):
@@ -134,6 +136,25 @@ def stats_order_spread(spark, d):
     return rows.select(*[F.round(c, 6).alias(c) for c in rows.columns])
 
 
+def stats_order_runs(spark, d):
+    """Spread of the clustering metrics over seeded orders of the records, each resolved anew by nearest embedding."""
+    rows = _gold_mentions(spark, d).filter("trim(surface) <> ''")
+    place = F.row_number().over(Window.partitionBy("id").orderBy("span_start", "span_end", "surface", "gold"))
+    gold = materialize(rows.select(F.col("id").alias("doc_id"), place.alias("ord"), "surface", "span_start", "span_end", "gold"))
+    runs = None
+    for k in range(ORDERS):
+        order = F.xxhash64(F.lit(SEED), F.lit(k), F.col("doc_id"))
+        found = gold.drop("gold").select(order.alias("doc_pos"), "*", F.lit(0).alias("unit_order"), F.concat("doc_id", F.lit(":u0")).alias("unit_id"), F.lit(True).alias("selected"))
+        resolved = resolve.embedding_nn(found, 0.9).select("doc_id", "ord", F.col("concept_id").alias("predicted"))
+        run = materialize(metrics.clustering(resolved.join(gold.select("doc_id", "ord", "gold"), ["doc_id", "ord"])))
+        runs = run if runs is None else runs.unionByName(run)
+    out = None
+    for c in runs.columns:
+        row = stats.spread(runs, c).select(F.lit(c).alias("metric"), *[F.round(x, 6).alias(x) for x in ("min", "max", "range", "std")])
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def _rounded(df):
     return df.select(*[F.round(c, 6).alias(c) if t == "double" else c for c, t in df.dtypes])
 
@@ -142,7 +163,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         metric_label_f1, metric_edge_f1, metric_redundancy, metric_hierarchy, hierarchy_shortcuts, metric_f1_at_k, metric_clustering, metric_coherence,
-        stats_draws, stats_bootstrap, stats_jackknife, stats_intervals, stats_bca, stats_paired_delta, stats_order_spread,
+        stats_draws, stats_bootstrap, stats_jackknife, stats_intervals, stats_bca, stats_paired_delta, stats_order_spread, stats_order_runs,
     )
 }
 
