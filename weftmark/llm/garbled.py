@@ -19,8 +19,10 @@ letters, and sequences that are UTF-8 read as Windows or ISO Latin 1 beyond doub
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -57,7 +59,6 @@ LEVEL = -16.0  # log2 of a pair's term of the mutual information at which it is
 LEAST_RUN = 3.0
 STRAY = 20.0  # bits more that a sequence must gain in a word with other characters that would be stray bytes
 LEAST_WORD = 4.0  # bits by which a further word must gain from a swap that holds elsewhere in its text
-ASCII_LETTERS = np.array([*range(65, 91), *range(97, 123)])
 MARKS = ".,:;!?\"'()"
 BLANKS = " \n\t\r"
 WORD = re.compile(r"[^ \n\t\r]+")
@@ -86,6 +87,10 @@ _CLASS = _class_table()
 _LETTER = np.array([chr(p).isalpha() for p in [*range(1536), *(p for low, high in KEPT for p in range(low, high))]] + [True] * (SIZE - OTHER))
 
 
+_ASCII_LETTER = np.zeros(SIZE, dtype=bool)
+_ASCII_LETTER[[*range(65, 91), *range(97, 123)]] = True
+
+
 def classes_of(points: np.ndarray) -> np.ndarray:
     """Class of each code point."""
     return _CLASS[points]
@@ -135,10 +140,35 @@ def misreadings() -> list[Misreading]:
     return [Misreading(e) for e in MISREAD]
 
 
-def possible(text: str) -> list[tuple[Misreading, float]]:
-    """Misreadings whose sequences the characters of a text allow, with the bits more that each must gain."""
-    chars = set(text)
-    return [(t, RARE_ENCODING * (k > 1)) for k, t in enumerate(misreadings()) if not t.leads.isdisjoint(chars) and not t.others.isdisjoint(chars)]
+@cache
+def _mark_tables() -> tuple[np.ndarray, ...]:
+    """By code point, one bit an encoding of MISREAD: leads of two, three and four bytes, and continuations."""
+    tables = tuple(np.zeros(0x110000, dtype=np.uint32) for _ in range(4))
+    for k, encoding in enumerate(MISREAD):
+        for ch, b in byte_table(encoding).items():
+            for table, low, high in zip(tables, (0xC2, 0xE0, 0xF0, 0x80), (0xE0, 0xF0, 0xF5, 0xC0)):
+                if low <= b < high:
+                    table[ord(ch)] |= np.uint32(1 << k)
+    return tables
+
+
+def sequence_marks(points: np.ndarray) -> np.ndarray:
+    """For each position the bits of the encodings as which a UTF-8 sequence misread may start there."""
+    two, three, four, more = _mark_tables()
+    n = len(points)
+    if n < 2:
+        return np.zeros(n, dtype=np.uint32)
+    m = np.concatenate([more[points[1:]], np.zeros(3, dtype=np.uint32)])
+    pair = m[:n] & m[1 : n + 1]
+    return (two[points] & m[:n]) | (three[points] & pair) | (four[points] & pair & m[2 : n + 2])
+
+
+LEADS = frozenset().union(*(t.leads for t in misreadings()))
+
+
+def tools_of(bits: int) -> list[tuple[Misreading, float]]:
+    """Misreadings of the given bits, with the bits more that each must gain."""
+    return [(t, RARE_ENCODING * (k > 1)) for k, t in enumerate(misreadings()) if bits >> k & 1]
 
 
 @cache
@@ -158,6 +188,9 @@ def high_runs(read: str, true: str) -> re.Pattern:
     return re.compile(f"[{high}][{high}{'@-~' if true == 'shift_jis' else ''}]{{5,}}")
 
 
+# what the first bytes of kana in the two encodings are read as
+EAST_LEADS = re.compile("[" + "".join(sorted({re.escape(bytes([b]).decode(read)) for read in LATIN_READ for b in (0x82, 0x83, 0xA4, 0xA5)})) + "]")
+DENSE = re.compile(r"(?:[^\x00-\x7f][@-~]*){6,}")  # what bytes of at least six high ones in a row of such an encoding can give
 NATURAL = re.compile(r"[^\W\d_]+")
 
 
@@ -169,10 +202,12 @@ def natural_word(span: str) -> bool:
     return bool(NATURAL.fullmatch(span)) and not any(x.islower() and y.isupper() for x, y in zip(span, span[1:]))
 
 
-def suspicious_spans(text: str) -> list[tuple[int, int]]:
+def suspicious_spans(text: str, bits: int | None = None) -> list[tuple[int, int]]:
     """Spans that are UTF-8 read through some encoding and no plain words, words with C1 controls, and long
-    stretches from U+0080 to U+00FF; merged and in order."""
-    spans = sorted({m.span() for tool, _ in possible(text) for m in tool.pattern.finditer(text) if not natural_word(m.group())} | {m.span() for m in RAW.finditer(text)})
+    stretches from U+0080 to U+00FF; merged and in order. ``bits``: the encodings, where the caller knows them."""
+    if bits is None:
+        bits = int(np.bitwise_or.reduce(sequence_marks(points_of(text)), initial=0))
+    spans = sorted({m.span() for tool, _ in tools_of(bits) for m in tool.pattern.finditer(text) if not natural_word(m.group())} | {m.span() for m in RAW.finditer(text)})
     out: list[tuple[int, int]] = []
     for a, b in spans:
         if out and a < out[-1][1]:
@@ -190,28 +225,67 @@ def evident(text: str) -> bool:
     if STRAY_CONTROL.search(text):
         return True
     latin = misreadings()[:2]
-    spans = (m.group() for tool in latin if any(ch in tool.leads for ch in HIGH.findall(text)) for m in tool.pattern.finditer(text))
+    spans = (m.group() for tool in latin if not tool.leads.isdisjoint(text) for m in tool.pattern.finditer(text))
     return any(len(span) > 2 and not natural_word(span) and any(tool.undo(span) is not None for tool in latin if set(span) <= tool.bytes.keys()) for span in spans)
 
 
+def _slices(texts: pd.Series, most: int = 1_000_000) -> Iterator[list[str]]:
+    """Texts in order, in lists of about ``most`` characters, so that arrays over a list stay small."""
+    out, size = [], 0
+    for t in texts:
+        out.append(t)
+        size += len(t)
+        if size >= most:
+            yield out
+            out, size = [], 0
+    if out:
+        yield out
+
+
+class Batch:
+    """Code points of many texts in one array: a line end before and behind each, the same one or, with ``gap`` 2, two."""
+
+    def __init__(self, texts: list[str], gap: int = 1):
+        self.points = points_of("\n" + ("\n" * gap).join(texts) + "\n")
+        sizes = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+        self.starts = np.concatenate([[0], np.cumsum(sizes + gap)[:-1]]) + 1
+        self.ends = self.starts + sizes
+        self.marks = sequence_marks(self.points)
+
+    def raw_marks(self) -> np.ndarray:
+        """1 where a C1 control stands or six characters from U+0080 to U+00FF begin."""
+        p = self.points
+        control = (p >= 0x80) & (p < 0xA0) & (p != 0x85)
+        high = np.concatenate([[0], np.cumsum((p >= 0x80) & (p < 0x100))])
+        six = np.zeros(len(p), dtype=bool)
+        six[: len(p) - 5] = high[6:] - high[:-6] == 6
+        return (control | six).astype(np.uint32)
+
+    def any_bits(self, marks: np.ndarray) -> np.ndarray:
+        """Bits set anywhere in each text."""
+        return np.bitwise_or.reduceat(marks, self.starts - 1) if len(self.starts) else np.zeros(0, dtype=np.uint32)
+
+
 def pair_counts(df: DataFrame, text: str = "text") -> DataFrame:
     """(pair, n): adjacent pairs of classes over all texts; pair = a * SIZE + b, a text's ends count as line ends."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: np.ndarray | None = None
         for batch in batches:
-            parts = []
-            for t in batch["text"]:
-                at = 0
-                for a, b in [] if t.isascii() else suspicious_spans(t):
-                    parts.append(t[at:a])
-                    at = b
-                parts.append(t[at:])
-            c = classes_of(points_of("\n".join(["", *parts, ""])))
-            counted = np.bincount(c[:-1] * SIZE + c[1:], minlength=0)
-            if total is None:
-                total = np.zeros(SIZE * SIZE, dtype=np.int64)
-            total[: len(counted)] += counted
+            for texts in _slices(batch["text"]):
+                whole = Batch(texts)
+                c = classes_of(whole.points)
+                pair = c[:-1] * SIZE + c[1:]
+                kept = np.ones(len(pair), dtype=bool)
+                bits, raw = whole.any_bits(whole.marks), whole.any_bits(whole.raw_marks())
+                for i in np.flatnonzero(bits | raw):
+                    for x, y in suspicious_spans(texts[i], int(bits[i])):
+                        x, y = x + whole.starts[i], y + whole.starts[i]
+                        kept[x - 1 : y] = False  # the pairs of the span's characters and the two at its ends
+                counted = np.bincount(pair[kept])
+                if total is None:
+                    total = np.zeros(SIZE * SIZE, dtype=np.int64)
+                total[: len(counted)] += counted
         if total is not None:
             pairs = np.flatnonzero(total)
             yield pd.DataFrame({"pair": pairs, "n": total[pairs]})
@@ -219,6 +293,9 @@ def pair_counts(df: DataFrame, text: str = "text") -> DataFrame:
     return df.select(F.col(text).alias("text")).filter("text <> ''").mapInPandas(run, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
 
 
+NOTHING = np.full(len(SWAPS), -MARGIN, dtype=np.float32)
+
+
 class PairModel:
     """Conditional pair probabilities and terms of the mutual information, in bits."""
 
@@ -236,29 +313,57 @@ class PairModel:
         with np.errstate(divide="ignore", invalid="ignore"):
             info = joint * np.log2(joint / base)
             self.info = np.where(info > 2.0**-40, np.log2(info), -40.0).astype(np.float32)
+        self.kept: dict[str, np.ndarray] = {}
+        self.uses: dict[bytes, bool] = {}
+        self.read: dict[tuple, tuple[str, float] | None] = {}
 
     def bits(self, text: str) -> float:
         """Log probability of a text, its first character given."""
         c = classes_of(points_of(text))
         return float(self.cond[c[:-1], c[1:]].sum(dtype=np.float64))
 
-    def runs(self, text: str) -> list[tuple[int, int]]:
-        """Spans of improbable runs: maximum-scoring segments over adjacent pairs, in order."""
-        points = points_of("\n" + text + "\n")
+    def height(self, points: np.ndarray, ends: np.ndarray | None = None) -> np.ndarray:
+        """Height of the improbable segments before each character. ``ends``: line ends before another, at which it falls to nothing."""
         c = classes_of(points)
         wide = (points[:-1] > 127) | (points[1:] > 127)
-        score = np.where(wide, np.clip((LEVEL - self.info[c[:-1], c[1:]]) / 2, -3.0, 4.0), -1.0)
+        score = np.full(len(wide), -1.0)
+        at = np.flatnonzero(wide)
+        score[at] = np.clip((LEVEL - self.info[c[at], c[at + 1]]) / 2, -3.0, 4.0)
+        if ends is not None:
+            score[ends] = -1e5  # over any height that a text in range can reach
         total = np.concatenate([[0.0], np.cumsum(score)])
-        height = total - np.minimum.accumulate(total)
-        out = []
+        return total - np.minimum.accumulate(total)
+
+    def runs(self, text: str) -> list[tuple[int, int]]:
+        """Spans of improbable runs: maximum-scoring segments over adjacent pairs, in order."""
+        height = self.height(points_of("\n" + text + "\n"))
         starts = np.flatnonzero(height == 0)
-        for a, b in zip(starts, np.append(starts[1:], len(height))):
-            if b - a > 1:
-                top = a + int(np.argmax(height[a:b]))
-                if height[top] >= LEAST_RUN:
-                    out.append((max(0, a - 1), min(len(text), top)))
+        tops = np.maximum.reduceat(height, starts)
+        ends = np.append(starts[1:], len(height))
+        out = []
+        for k in np.flatnonzero(tops >= LEAST_RUN):
+            a = starts[k]
+            top = a + int(np.argmax(height[a : ends[k]]))
+            out.append((max(0, int(a) - 1), min(len(text), top)))
         return out
 
+    def gains(self, keys: list[str]) -> np.ndarray:
+        """Bits that each word gains by each swap; a key is a word with the characters on its two sides. Known keys are kept, 100,000 at most."""
+        if len(self.kept) > 100_000:
+            self.kept.clear()
+        new = []
+        for k in dict.fromkeys(keys):
+            if k not in self.kept:
+                if WIDE.search(k):  # no swap gives such a letter
+                    self.kept[k] = NOTHING
+                else:
+                    new.append(k)
+        for at in range(0, len(new), 4096):
+            some = new[at : at + 4096]
+            for k, row in zip(some, _word_gains(some, self)):
+                self.kept[k] = row
+        return np.array([self.kept[k] for k in keys], dtype=np.float32).reshape(len(keys), len(SWAPS))
+
 
 def _stray(text: str, m: re.Match, tool: Misreading) -> int:
     """Characters of the word around a match that would be bytes of the misreading, yet form no sequence."""
@@ -267,28 +372,47 @@ def _stray(text: str, m: re.Match, tool: Misreading) -> int:
     return sum(ch in tool.bytes for ch in HIGH.findall(tool.pattern.sub("", text[a:b])))
 
 
-def _undo_utf8(text: str, a: int, b: int, model: PairModel) -> tuple[str, float] | None:
+def _inner(fresh: str, model: PairModel) -> list[str]:
+    """Readings of decoded text: restored further; or, where that changes nothing, also one layer down, which may gain in its place."""
+    if LEADS.isdisjoint(fresh):
+        return [fresh]
+    again = restore(fresh, model, deep=False)[0]
+    if again != fresh:
+        return [again]
+    return [fresh, *(x for x in (t.undo(fresh) for t in misreadings()[:2] if t.pattern.fullmatch(fresh)) if x is not None)]
+
+
+def _reading(tool: Misreading, before: str, span: str, after: str, model: PairModel) -> tuple[str, float] | None:
+    """What a misread span was, and the bits that it gains between two characters; None if it is no text. Known
+    answers on short spans are kept, 100,000 at most."""
+    key = (tool, before, span, after)
+    if key in model.read:
+        return model.read[key]
+    out = None
+    fresh = tool.undo(span)
+    if fresh is not None:
+        again = max(_inner(fresh, model), key=lambda x: model.bits(before + x + after))
+        single = len(EAST_LETTER.findall(again)) == 1 and not EAST_LETTER.search(before + after)  # one such letter alone is no text
+        if not single and not any(0x7F < ord(ch) < 0xA0 for ch in again) and model.known[classes_of(points_of(again))].all():
+            out = again, model.bits(before + again + after) - model.bits(before + span + after)
+    if len(span) <= 32:
+        if len(model.read) >= 100_000:
+            model.read.clear()
+        model.read[key] = out
+    return out
+
+
+def _undo_utf8(text: str, a: int, b: int, model: PairModel, bits: int) -> tuple[str, float] | None:
     """Best reading of text[a:b] with its misread UTF-8 undone, and the bits it gains."""
     best, gain = None, 0.0
-    for tool, extra in possible(text[a:b]):
+    for tool, extra in tools_of(bits):
         out, at, won = [], a, 0.0
         for m in tool.pattern.finditer(text, a, b):
-            fresh = tool.undo(m.group())
-            if fresh is None:
+            read = _reading(tool, text[max(0, m.start() - 1) : m.start()] or "\n", m.group(), text[m.end() : m.end() + 1] or "\n", model)
+            if read is None or read[1] <= SEQUENCE_MARGIN + extra:
                 continue
-            before, after = text[max(0, m.start() - 1) : m.start()] or "\n", text[m.end() : m.end() + 1] or "\n"
-            again = restore(fresh, model, deep=False)[0]
-            if again == fresh:
-                # in its place a second layer may gain what it doesn't alone
-                layers = (t.undo(fresh) for t in misreadings()[:2] if t.pattern.fullmatch(fresh))
-                again = max([fresh, *(x for x in layers if x is not None)], key=lambda x: model.bits(before + x + after))
-            if not model.known[classes_of(points_of(again))].all() or any(0x7F < ord(ch) < 0xA0 for ch in again):
-                continue
-            if len(EAST_LETTER.findall(again)) == 1 and not EAST_LETTER.search(before + after):
-                continue  # one such letter alone is no text
-            stray = STRAY * (_stray(text, m, tool) > 0)
-            more = model.bits(before + again + after) - model.bits(before + m.group() + after)
-            if more > SEQUENCE_MARGIN + extra + stray:
+            again, more = read
+            if more > SEQUENCE_MARGIN + extra + STRAY or not _stray(text, m, tool):
                 out += (text[at : m.start()], again)
                 at, won = m.end(), won + more - extra
         if won > gain:
@@ -299,6 +423,8 @@ def _undo_utf8(text: str, a: int, b: int, model: PairModel) -> tuple[str, float]
 def _undo_east(text: str, a: int, b: int, model: PairModel) -> tuple[str, float] | None:
     """A stretch of an East Asian encoding read byte by byte: long enough, with kana, and more probable."""
     best, gain = None, MARGIN
+    if not EAST_LEADS.search(text, a, b) or not any(map(EAST_LEADS.search, DENSE.findall(text, a, b))):
+        return None
     for read in LATIN_READ:
         table = byte_table(read)
         for m, true in [(m, true) for true in EAST for m in high_runs(read, true).finditer(text, a, b)]:
@@ -315,8 +441,8 @@ def _undo_east(text: str, a: int, b: int, model: PairModel) -> tuple[str, float]
 
 
 @cache
-def _wide_bytes(ch: str, encoding: str) -> bytes:
-    return ch.encode(encoding, "replace")
+def _wide_length(ch: str, encoding: str) -> int:
+    return len(ch.encode(encoding, "replace"))
 
 
 def _identity_bits(text: str) -> float:
@@ -324,19 +450,35 @@ def _identity_bits(text: str) -> float:
     return KANA_BITS * kana + WIDE_BITS * (len(WIDE.findall(text)) - kana)
 
 
+def _plausible(raw: bytes, model: PairModel) -> bool:
+    """Whether bytes are UTF-8 of characters that the corpus uses."""
+    out = model.uses.get(raw)
+    if out is None:
+        try:
+            points = points_of(raw.decode("utf-8"))
+            out = bool(model.known[classes_of(points)].all()) and not bool(((points > 0x7F) & (points < 0xA0)).any())
+        except UnicodeDecodeError:
+            out = False
+        if len(raw) <= 16:
+            if len(model.uses) >= 100_000:
+                model.uses.clear()
+            model.uses[raw] = out
+    return out
+
+
 def _undo_wide(text: str, model: PairModel) -> tuple[str, int]:
     """The text with UTF-8 read as a two-byte encoding undone where that gains the margin, and the number of stretches."""
     out, at, found = [], 0, 0
     for run in NOT_ASCII.finditer(text) if WIDE.search(text) else ():
         won: list[tuple[float, int, int, str]] = []
         for encoding in WIDE_READ:
-            pieces = [_wide_bytes(ch, encoding) for ch in run.group()]
-            raw = b"".join(pieces)
-            place, n = {}, 0
-            for k, piece in enumerate([*pieces, b""]):
-                place[n] = run.start() + k
-                n += len(piece)
-            for m in SEQUENCES.finditer(raw):
+            raw = run.group().encode(encoding, "replace")
+            hits = [m for m in SEQUENCES.finditer(raw) if _plausible(m.group(), model)]
+            if not hits:
+                continue
+            ends = accumulate([_wide_length(ch, encoding) for ch in run.group()], initial=0)
+            place = dict(zip(ends, range(run.start(), run.end() + 1)))
+            for m in hits:
                 # the last byte may be the first of a character whose second is ASCII
                 stop = m.end() + (m.end() not in place)
                 if m.start() not in place or stop not in place or (stop > m.end() and raw[m.end()] > 0x7F):
@@ -382,60 +524,105 @@ def _swap_classes() -> tuple[np.ndarray, np.ndarray]:
     return to, readable
 
 
-def _word_gains(text: str, words: list[re.Match], model: PairModel, only: int | None = None) -> np.ndarray:
-    """Bits that each word (column) gains by each swap (row) beyond those of its reading as look-alike letters;
-    a word with characters that the misreading cannot give, or that would mix scripts or take letters from a plain word, gains none."""
+def _word_gains(keys: list[str], model: PairModel) -> np.ndarray:
+    """Bits that each word (row) gains by each swap (column) beyond those of its reading as look-alike letters;
+    a word with characters that the misreading cannot give, or that would mix scripts or take letters from a plain word, gains none.
+
+    A key is a word between the characters on its two sides."""
     to, readable = _swap_classes()
-    if only is not None:
-        to, readable = to[[only, -1]], readable[[only, -1]]
-    c = classes_of(points_of("\n" + text + "\n"))
+    c = classes_of(points_of("".join(keys)))
+    ends = np.cumsum(np.fromiter(map(len, keys), dtype=np.int64, count=len(keys)))
+    first, last = ends - np.fromiter(map(len, keys), dtype=np.int64, count=len(keys)) + 1, ends - 1
     d = to[:, c]
     zero = np.zeros((len(d), 1))
-    total = np.hstack([zero, np.cumsum(model.cond[d[:, :-1], d[:, 1:]] - model.cond[c[:-1], c[1:]], axis=1, dtype=np.float64)])
-    latin = np.isin(c[1:-1], ASCII_LETTERS)
-    foreign = (d[:, 1:-1] != c[1:-1]) & (d[:, 1:-1] >= 0x370) & (d[:, 1:-1] < 0x530)
-    odd = np.hstack([zero, np.cumsum(~readable[:, c[1:-1]], axis=1)])
-    mixed = np.hstack([zero, np.cumsum(foreign, axis=1)])
-    lost = np.hstack([zero, np.cumsum(_LETTER[c[1:-1]] & ~_LETTER[d[:, 1:-1]], axis=1)])
-    plain = np.concatenate([[0], np.cumsum(latin)])
-    natural = np.array([natural_word(m.group().strip(MARKS)) for m in words])
-    first, last = np.array([m.start() for m in words]), np.array([m.end() for m in words])
-    wrong = (odd[:, last] > odd[:, first]) | ((mixed[:, last] > mixed[:, first]) & (plain[last] > plain[first])) | (natural & (lost[:, last] > lost[:, first]))
-    gains = np.where(wrong, -MARGIN, total[:, last + 1] - total[:, first])
-    return gains[:-1] - np.maximum(gains[-1], 0.0)
-
-
-def _undo_swap(text: str, a: int, b: int, model: PairModel) -> tuple[str, float, int] | None:
+
+    def summed(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        total = np.hstack([zero, np.cumsum(x, axis=1, dtype=np.float64)])
+        return total[:, end] - total[:, start]
+
+    bits = summed(model.cond[d[:, :-1], d[:, 1:]] - model.cond[c[:-1], c[1:]], first - 1, last)
+    odd = summed(~readable[:, c], first, last) > 0
+    mixed = summed((d != c) & (d >= 0x370) & (d < 0x530), first, last) > 0
+    lost = summed(_LETTER[c] & ~_LETTER[d], first, last) > 0
+    latin = np.concatenate([[0], np.cumsum(_ASCII_LETTER[c])])
+    plain = latin[last] > latin[first]
+    natural = np.array([natural_word(k[1:-1].strip(MARKS)) for k in keys], dtype=bool)
+    gains = np.where(odd | (mixed & plain) | (natural & lost), -MARGIN, bits)
+    return (gains[:-1] - np.maximum(gains[-1], 0.0)).T.astype(np.float32)
+
+
+class Words:
+    """The words of a text that are not ASCII, in order, and what each gains by each swap."""
+
+    def __init__(self, text: str, model: PairModel):
+        self.spans = [m.span() for m in WORD.finditer(text) if not m.group().isascii()]
+        padded = "\n" + text + "\n"
+        self.gains = model.gains([padded[x : y + 2] for x, y in self.spans])
+
+    def may_swap(self) -> bool:
+        """Whether all words taken together could gain the margin by one swap."""
+        return bool(self.spans) and bool(np.maximum(self.gains, 0.0).sum(axis=0).max() > MARGIN)
+
+
+def _undo_swap(text: str, a: int, b: int, words: Words) -> tuple[str, float, int] | None:
     """The best single-byte swap of whole words of text[a:b]: its maximum-scoring stretch of words must gain the margin."""
-    part = text[a:b]
-    words = [m for m in WORD.finditer(part) if not m.group().isascii()]
-    if not words:
+    first, last = bisect_left(words.spans, (a, a)), bisect_left(words.spans, (b, b))
+    spans, gains = words.spans[first:last], words.gains[first:last].T
+    if not spans or np.maximum(gains, 0.0).sum(axis=1).max() <= MARGIN:
         return None
-    gains = _word_gains(part, words, model)
-    total = np.hstack([np.zeros((len(gains), 1)), np.cumsum(gains, axis=1)])
+    total = np.hstack([np.zeros((len(gains), 1)), np.cumsum(gains, axis=1, dtype=np.float64)])
     above = total - np.minimum.accumulate(total, axis=1)
     k, end = np.unravel_index(int(np.argmax(above)), above.shape)
     won = float(above[k, end])
     if won <= MARGIN:
         return None
     start = int(np.flatnonzero(above[k, : end + 1] == 0)[-1])
-    x, y = words[start].start(), words[end - 1].end()
-    return part[:x] + part[x:y].translate(swaps()[k]) + part[y:], won, int(k)
+    x, y = spans[start][0], spans[end - 1][1]
+    return text[a:x] + text[x:y].translate(swaps()[k]) + text[y:b], won, int(k)
 
 
 def _spread_swap(text: str, k: int, model: PairModel) -> str:
     """A swap that holds in one place of a text, done to its other words that gain by it."""
-    words = [m for m in WORD.finditer(text) if not m.group().isascii()]
-    if not words:
-        return text
+    words = Words(text, model)
     out, at = [], 0
-    for m, won in zip(words, _word_gains(text, words, model, k)[0]):
+    for (x, y), won in zip(words.spans, words.gains[:, k]):
         if won > LEAST_WORD:
-            out += (text[at : m.start()], m.group().translate(swaps()[k]))
-            at = m.end()
+            out += (text[at:x], text[x:y].translate(swaps()[k]))
+            at = y
     return "".join([*out, text[at:]])
 
 
+def suspects(texts: list[str], model: PairModel) -> np.ndarray:
+    """Which texts may hold something that ``restore`` would find; a test over all texts at once that misses none.
+
+    A run is of use only where a mapping can be tested in it: a misread sequence, first bytes of kana among six
+    characters, or words that could gain by a swap. Besides, letters of two-byte encodings whose bytes are UTF-8,
+    and what ``evident`` or U+FFFD tells.
+    """
+    whole = Batch(texts, 2)
+    p = whole.points
+    height = model.height(p, whole.ends[:-1])
+    inside = (p >= 0x80) & (p < 0xA0) & (p != 0x85) | (p == 0xFFFD) | (whole.marks & 3 != 0)
+    out = np.logical_or.reduceat(inside, whole.starts - 1)
+    starts = np.flatnonzero(height == 0)
+    long = np.flatnonzero(np.maximum.reduceat(height, starts) >= LEAST_RUN)
+    a = starts[long]
+    b = np.append(starts[1:], len(height))[long]
+    text = np.searchsorted(whole.starts - 1, a, side="right") - 1
+    marked = np.concatenate([[0], np.cumsum(whole.marks != 0)])
+    x, y = np.maximum(a - 4, whole.starts[text]), np.minimum(b + 4, whole.ends[text])
+    y = np.maximum(x, y)
+    out[text[marked[y] > marked[x]]] = True
+    run = np.zeros(len(texts), dtype=bool)
+    run[text] = True
+    for i in np.flatnonzero(~out & run):
+        t = texts[i]
+        out[i] = bool(EAST_LEADS.search(t)) and any(map(EAST_LEADS.search, DENSE.findall(t))) or Words(t, model).may_swap()
+    for i in np.flatnonzero(~out):
+        out[i] = bool(WIDE.search(texts[i])) and any(_plausible(x, model) for e in WIDE_READ for x in SEQUENCES.findall(texts[i].encode(e, "replace")))
+    return out
+
+
 def restore(text: str, model: PairModel, deep: bool = True, rounds: int = 6) -> tuple[str, int, bool]:
     """(restored text, runs undone, whether all that was found could be restored)."""
     found = 0
@@ -446,15 +633,20 @@ def restore(text: str, model: PairModel, deep: bool = True, rounds: int = 6) ->
             text, wide = _undo_wide(text, model)
             found += wide
         out, at, changed, swapped = [], 0, 0, set()
-        for a, b in model.runs(text):
+        marks = sequence_marks(points_of(text))
+        runs = model.runs(text)
+        words = Words(text, model) if deep and runs else None
+        swappable = words is not None and words.may_swap()
+        for a, b in runs:
             a, b = max(at, a - 3), min(len(text), b + 3)
             if b <= a:
                 continue
-            undone = _undo_utf8(text, a, b, model)
+            bits = int(np.bitwise_or.reduce(marks[a:b]))
+            undone = _undo_utf8(text, a, b, model, bits) if bits else None
             if deep:
                 tried = [x for x in (undone, _undo_east(text, a, b, model)) if x]
                 x, y = max(at, *(text.rfind(ch, 0, a) + 1 for ch in BLANKS)), min(len(text), *(z for z in (text.find(ch, b) for ch in BLANKS) if z >= 0), len(text))
-                swap = _undo_swap(text, x, y, model)
+                swap = _undo_swap(text, x, y, words) if swappable else None
                 undone = max(tried, key=lambda t: t[1], default=None)
                 if swap and (undone is None or swap[1] > undone[1]):
                     undone, a, b = swap, x, y
@@ -497,11 +689,13 @@ def garbled(df: DataFrame, key: str, text: str = "text") -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model = _model(*shared.value)
         for batch in batches:
-            out = []
-            for k, t in zip(batch["key"], batch["text"]):
-                fresh, runs, whole = restore(t, model)
-                if runs or not whole:
-                    out.append((k, fresh, runs, whole))
+            out, keys, at = [], batch["key"].tolist(), 0
+            for texts in _slices(batch["text"]):
+                for i in np.flatnonzero(suspects(texts, model)):
+                    fresh, runs, whole = restore(texts[i], model)
+                    if runs or not whole:
+                        out.append((keys[at + i], fresh, runs, whole))
+                at += len(texts)
             yield pd.DataFrame(out, columns=["key", "restored", "runs", "whole"])
 
     return rows.mapInPandas(run, f"key {kind}, restored string, runs int, whole boolean").withColumnRenamed("key", key)
