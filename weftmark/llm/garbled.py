@@ -22,7 +22,6 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
-from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -61,7 +60,8 @@ STRAY = 20.0  # bits more that a sequence must gain in a word with other charact
 LEAST_WORD = 4.0  # bits by which a further word must gain from a swap that holds elsewhere in its text
 MARKS = ".,:;!?\"'()"
 BLANKS = " \n\t\r"
-WORD = re.compile(r"[^ \n\t\r]+")
+# words that are not ASCII, tried at the starts of words only
+FOREIGN = re.compile("(?<![^ \\n\\t\\r])[^ \\n\\t\\r\x80-\U0010ffff]*+[^\x00-\x7f][^ \\n\\t\\r]*")
 HIGH = re.compile(r"[^\x00-\x7f]")
 EAST_LETTER = re.compile("[\u2e80-\u9fff\uac00-\ud7a3]")
 KANA = re.compile("[ぁ-ヾ]")
@@ -163,6 +163,7 @@ def sequence_marks(points: np.ndarray) -> np.ndarray:
     return (two[points] & m[:n]) | (three[points] & pair) | (four[points] & pair & m[2 : n + 2])
 
 
+AGAIN = frozenset().union(*(t.bytes for t in misreadings()))  # characters that some byte is read as
 LEADS = frozenset().union(*(t.leads for t in misreadings()))
 
 
@@ -315,6 +316,8 @@ class PairModel:
             self.info = np.where(info > 2.0**-40, np.log2(info), -40.0).astype(np.float32)
         self.kept: dict[str, np.ndarray] = {}
         self.uses: dict[bytes, bool] = {}
+        self.starts: dict[str, bool] = {}
+        self.won: dict[tuple[str, str, str, str], float] = {}
         self.read: dict[tuple, tuple[str, float] | None] = {}
 
     def bits(self, text: str) -> float:
@@ -347,6 +350,28 @@ class PairModel:
             out.append((max(0, int(a) - 1), min(len(text), top)))
         return out
 
+    def marks(self, text: str) -> np.ndarray:
+        """``sequence_marks`` of a text, at the places where what may start there gives a character that the corpus uses or
+        that may be misread once more."""
+        marks = sequence_marks(points_of(text))
+        for i in np.flatnonzero(marks):
+            if not self.viable(text[i : i + 4], int(marks[i])):
+                marks[i] = 0
+        return marks
+
+    def viable(self, start: str, bits: int) -> bool:
+        """Whether the first sequence of one to three characters more gives a character of use. Answers are kept, 100,000 at most."""
+        out = self.starts.get(start)
+        if out is None:
+            out = False
+            for tool, _ in tools_of(bits):
+                for fresh in (tool.undo(start[:n]) for n in (2, 3, 4) if set(start[:n]) <= tool.bytes.keys()):
+                    out = out or fresh is not None and len(fresh) == 1 and (fresh in AGAIN or bool(self.known[_CLASS[ord(fresh)]]))
+            if len(self.starts) >= 100_000:
+                self.starts.clear()
+            self.starts[start] = out
+        return out
+
     def gains(self, keys: list[str]) -> np.ndarray:
         """Bits that each word gains by each swap; a key is a word with the characters on its two sides. Known keys are kept, 100,000 at most."""
         if len(self.kept) > 100_000:
@@ -420,11 +445,14 @@ def _undo_utf8(text: str, a: int, b: int, model: PairModel, bits: int) -> tuple[
     return None if best is None else (best, gain)
 
 
+def _may_be_east(text: str) -> bool:
+    """Whether a text has what a first byte of kana is read as, among six characters that are read from high bytes."""
+    return bool(EAST_LEADS.search(text)) and any(map(EAST_LEADS.search, DENSE.findall(text)))
+
+
 def _undo_east(text: str, a: int, b: int, model: PairModel) -> tuple[str, float] | None:
     """A stretch of an East Asian encoding read byte by byte: long enough, with kana, and more probable."""
     best, gain = None, MARGIN
-    if not EAST_LEADS.search(text, a, b) or not any(map(EAST_LEADS.search, DENSE.findall(text, a, b))):
-        return None
     for read in LATIN_READ:
         table = byte_table(read)
         for m, true in [(m, true) for true in EAST for m in high_runs(read, true).finditer(text, a, b)]:
@@ -441,8 +469,12 @@ def _undo_east(text: str, a: int, b: int, model: PairModel) -> tuple[str, float]
 
 
 @cache
-def _wide_length(ch: str, encoding: str) -> int:
-    return len(ch.encode(encoding, "replace"))
+def _wide_lengths(encoding: str) -> np.ndarray:
+    """By code point, the number of bytes that it takes; one for those that the encoding lacks, which become "?"."""
+    out = np.ones(0x110000, dtype=np.uint8)
+    taken = np.concatenate([np.arange(0x80, 0xD800), np.arange(0xE000, 0x10000)])
+    out[taken] = list(map(len, "\n".join(map(chr, taken)).encode(encoding, "replace").split(b"\n")))
+    return out
 
 
 def _identity_bits(text: str) -> float:
@@ -468,40 +500,46 @@ def _plausible(raw: bytes, model: PairModel) -> bool:
 
 def _undo_wide(text: str, model: PairModel) -> tuple[str, int]:
     """The text with UTF-8 read as a two-byte encoding undone where that gains the margin, and the number of stretches."""
-    out, at, found = [], 0, 0
-    for run in NOT_ASCII.finditer(text) if WIDE.search(text) else ():
-        won: list[tuple[float, int, int, str]] = []
-        for encoding in WIDE_READ:
-            raw = run.group().encode(encoding, "replace")
-            hits = [m for m in SEQUENCES.finditer(raw) if _plausible(m.group(), model)]
-            if not hits:
+    won: list[tuple[float, int, int, str]] = []
+    points = points_of(text) if WIDE.search(text) else None
+    for encoding in WIDE_READ if points is not None else ():
+        raw = text.encode(encoding, "replace")
+        hits = [m for m in SEQUENCES.finditer(raw) if _plausible(m.group(), model)]
+        if not hits:
+            continue
+        ends = np.concatenate([[0], np.cumsum(_wide_lengths(encoding)[points], dtype=np.int64)])
+        stops = np.array([m.end() for m in hits])
+        inside = ends[np.searchsorted(ends, stops)] != stops  # the last byte may be the first of a character whose second is ASCII
+        first = np.searchsorted(ends, np.array([m.start() for m in hits]))
+        last = np.searchsorted(ends, stops + inside)
+        for m, a, b, more in zip(hits, first.tolist(), last.tolist(), inside.tolist()):
+            stop = m.end() + more
+            if ends[a] != m.start() or ends[b] != stop or (more and raw[m.end()] > 0x7F) or not WIDE.search(text, a, b):
                 continue
-            ends = accumulate([_wide_length(ch, encoding) for ch in run.group()], initial=0)
-            place = dict(zip(ends, range(run.start(), run.end() + 1)))
-            for m in hits:
-                # the last byte may be the first of a character whose second is ASCII
-                stop = m.end() + (m.end() not in place)
-                if m.start() not in place or stop not in place or (stop > m.end() and raw[m.end()] > 0x7F):
-                    continue
-                try:
-                    fresh = raw[m.start() : stop].decode("utf-8")
-                except UnicodeDecodeError:
-                    continue
-                a, b = place[m.start()], place[stop]
-                if not WIDE.search(text, a, b) or not model.known[classes_of(points_of(fresh))].all() or any(0x7F < ord(ch) < 0xA0 for ch in fresh):
-                    continue
-                before, after = text[max(0, a - 1) : a] or "\n", text[b : b + 1] or "\n"
+            fresh = raw[m.start() : stop].decode("utf-8")
+            before, after = text[max(0, a - 1) : a] or "\n", text[b : b + 1] or "\n"
+            key = (before, text[a:b], after, fresh)
+            gain = model.won.get(key)
+            if gain is None:
                 gain = model.bits(before + fresh + after) - model.bits(before + text[a:b] + after) + _identity_bits(text[a:b]) - _identity_bits(fresh)
-                if gain > MARGIN:
-                    won.append((gain, a, b, fresh))
-        taken: list[tuple[int, int, str]] = []
-        for _, a, b, fresh in sorted(won, reverse=True):
-            if all(b <= x or a >= y for x, y, _ in taken):
-                taken.append((a, b, fresh))
-        for a, b, fresh in sorted(taken):
-            out += (text[at:a], fresh)
-            at, found = b, found + 1
-    return "".join([*out, text[at:]]), found
+                if b - a < 9:
+                    if len(model.won) >= 100_000:
+                        model.won.clear()
+                    model.won[key] = gain
+            if gain > MARGIN:
+                won.append((gain, a, b, fresh))
+    if not won:
+        return text, 0
+    taken: list[tuple[int, int, str]] = []
+    for _, a, b, fresh in sorted(won, reverse=True):
+        k = bisect_left(taken, (a, b, fresh))
+        if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+            taken.insert(k, (a, b, fresh))
+    out, at = [], 0
+    for a, b, fresh in taken:
+        out += (text[at:a], fresh)
+        at = b
+    return "".join([*out, text[at:]]), len(taken)
 
 
 @cache
@@ -534,16 +572,14 @@ def _word_gains(keys: list[str], model: PairModel) -> np.ndarray:
     ends = np.cumsum(np.fromiter(map(len, keys), dtype=np.int64, count=len(keys)))
     first, last = ends - np.fromiter(map(len, keys), dtype=np.int64, count=len(keys)) + 1, ends - 1
     d = to[:, c]
-    zero = np.zeros((len(d), 1))
+    at = np.stack([first, last], axis=1).ravel()  # words and what lies between, by turns
 
-    def summed(x: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        total = np.hstack([zero, np.cumsum(x, axis=1, dtype=np.float64)])
-        return total[:, end] - total[:, start]
+    def within(x: np.ndarray) -> np.ndarray:
+        return np.logical_or.reduceat(x, at, axis=1)[:, ::2]
 
-    bits = summed(model.cond[d[:, :-1], d[:, 1:]] - model.cond[c[:-1], c[1:]], first - 1, last)
-    odd = summed(~readable[:, c], first, last) > 0
-    mixed = summed((d != c) & (d >= 0x370) & (d < 0x530), first, last) > 0
-    lost = summed(_LETTER[c] & ~_LETTER[d], first, last) > 0
+    # a word's pairs begin with the character before it
+    bits = np.add.reduceat(model.cond[d[:, :-1], d[:, 1:]] - model.cond[c[:-1], c[1:]], np.minimum(at - 1 + np.arange(len(at)) % 2, len(c) - 2), axis=1)[:, ::2]
+    odd, mixed, lost = within(~readable[:, c]), within((d != c) & (d >= 0x370) & (d < 0x530)), within(_LETTER[c] & ~_LETTER[d])
     latin = np.concatenate([[0], np.cumsum(_ASCII_LETTER[c])])
     plain = latin[last] > latin[first]
     natural = np.array([natural_word(k[1:-1].strip(MARKS)) for k in keys], dtype=bool)
@@ -555,7 +591,7 @@ class Words:
     """The words of a text that are not ASCII, in order, and what each gains by each swap."""
 
     def __init__(self, text: str, model: PairModel):
-        self.spans = [m.span() for m in WORD.finditer(text) if not m.group().isascii()]
+        self.spans = [m.span() for m in FOREIGN.finditer(text)]
         padded = "\n" + text + "\n"
         self.gains = model.gains([padded[x : y + 2] for x, y in self.spans])
 
@@ -609,15 +645,17 @@ def suspects(texts: list[str], model: PairModel) -> np.ndarray:
     a = starts[long]
     b = np.append(starts[1:], len(height))[long]
     text = np.searchsorted(whole.starts - 1, a, side="right") - 1
-    marked = np.concatenate([[0], np.cumsum(whole.marks != 0)])
-    x, y = np.maximum(a - 4, whole.starts[text]), np.minimum(b + 4, whole.ends[text])
-    y = np.maximum(x, y)
-    out[text[marked[y] > marked[x]]] = True
+    marked = np.flatnonzero(whole.marks)
+    x, y = np.searchsorted(marked, np.maximum(a - 4, whole.starts[text])), np.searchsorted(marked, np.minimum(b + 4, whole.ends[text]))
+    for i, low, high in zip(text.tolist(), x.tolist(), y.tolist()):
+        if low < high and not out[i]:
+            at = whole.starts[i]
+            out[i] = any(model.viable(texts[i][m - at : m - at + 4], int(whole.marks[m])) for m in marked[low:high].tolist())
     run = np.zeros(len(texts), dtype=bool)
     run[text] = True
     for i in np.flatnonzero(~out & run):
         t = texts[i]
-        out[i] = bool(EAST_LEADS.search(t)) and any(map(EAST_LEADS.search, DENSE.findall(t))) or Words(t, model).may_swap()
+        out[i] = _may_be_east(t) or Words(t, model).may_swap()
     for i in np.flatnonzero(~out):
         out[i] = bool(WIDE.search(texts[i])) and any(_plausible(x, model) for e in WIDE_READ for x in SEQUENCES.findall(texts[i].encode(e, "replace")))
     return out
@@ -633,10 +671,11 @@ def restore(text: str, model: PairModel, deep: bool = True, rounds: int = 6) ->
             text, wide = _undo_wide(text, model)
             found += wide
         out, at, changed, swapped = [], 0, 0, set()
-        marks = sequence_marks(points_of(text))
+        marks = model.marks(text)
         runs = model.runs(text)
         words = Words(text, model) if deep and runs else None
         swappable = words is not None and words.may_swap()
+        east = deep and _may_be_east(text)
         for a, b in runs:
             a, b = max(at, a - 3), min(len(text), b + 3)
             if b <= a:
@@ -644,9 +683,11 @@ def restore(text: str, model: PairModel, deep: bool = True, rounds: int = 6) ->
             bits = int(np.bitwise_or.reduce(marks[a:b]))
             undone = _undo_utf8(text, a, b, model, bits) if bits else None
             if deep:
-                tried = [x for x in (undone, _undo_east(text, a, b, model)) if x]
-                x, y = max(at, *(text.rfind(ch, 0, a) + 1 for ch in BLANKS)), min(len(text), *(z for z in (text.find(ch, b) for ch in BLANKS) if z >= 0), len(text))
-                swap = _undo_swap(text, x, y, words) if swappable else None
+                tried = [x for x in (undone, _undo_east(text, a, b, model) if east else None) if x]
+                swap = None
+                if swappable:
+                    x, y = max(at, *(text.rfind(ch, 0, a) + 1 for ch in BLANKS)), min(len(text), *(z for z in (text.find(ch, b) for ch in BLANKS) if z >= 0), len(text))
+                    swap = _undo_swap(text, x, y, words)
                 undone = max(tried, key=lambda t: t[1], default=None)
                 if swap and (undone is None or swap[1] > undone[1]):
                     undone, a, b = swap, x, y
