@@ -22,6 +22,7 @@ import re
 from bisect import bisect_left
 from collections.abc import Iterator
 from functools import cache
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -314,7 +315,7 @@ class PairModel:
         with np.errstate(divide="ignore", invalid="ignore"):
             info = joint * np.log2(joint / base)
             self.info = np.where(info > 2.0**-40, np.log2(info), -40.0).astype(np.float32)
-        self.kept: dict[str, np.ndarray] = {}
+        self.kept: dict[str, tuple[float, np.ndarray]] = {}
         self.uses: dict[bytes, bool] = {}
         self.starts: dict[str, bool] = {}
         self.won: dict[tuple[str, str, str, str], float] = {}
@@ -372,22 +373,24 @@ class PairModel:
             self.starts[start] = out
         return out
 
-    def gains(self, keys: list[str]) -> np.ndarray:
-        """Bits that each word gains by each swap; a key is a word with the characters on its two sides. Known keys are kept, 100,000 at most."""
+    def gains(self, keys: list[str]) -> list[tuple[float, np.ndarray]]:
+        """Bits that each word gains by each swap, and the most of them, 0 at least; a key is a word with the characters
+        on its two sides. Known keys are kept, 100,000 at most."""
         if len(self.kept) > 100_000:
             self.kept.clear()
         new = []
         for k in dict.fromkeys(keys):
             if k not in self.kept:
                 if WIDE.search(k):  # no swap gives such a letter
-                    self.kept[k] = NOTHING
+                    self.kept[k] = (0.0, NOTHING)
                 else:
                     new.append(k)
         for at in range(0, len(new), 4096):
             some = new[at : at + 4096]
-            for k, row in zip(some, _word_gains(some, self)):
-                self.kept[k] = row
-        return np.array([self.kept[k] for k in keys], dtype=np.float32).reshape(len(keys), len(SWAPS))
+            rows = _word_gains(some, self)
+            for k, most, row in zip(some, np.maximum(rows.max(axis=1), 0.0).tolist(), rows):
+                self.kept[k] = (most, row)
+        return [self.kept[k] for k in keys]
 
 
 def _stray(text: str, m: re.Match, tool: Misreading) -> int:
@@ -587,24 +590,25 @@ def _word_gains(keys: list[str], model: PairModel) -> np.ndarray:
     return (gains[:-1] - np.maximum(gains[-1], 0.0)).T.astype(np.float32)
 
 
-class Words:
-    """The words of a text that are not ASCII, in order, and what each gains by each swap."""
+def _words(text: str, a: int, b: int) -> tuple[list[tuple[int, int]], list[str]]:
+    """Spans of the words of text[a:b] that are not ASCII, in order, and their keys. Both ends are at blanks."""
+    spans = [m.span() for m in FOREIGN.finditer(text, a, b)]
+    return spans, [(text[x - 1] if x else "\n") + text[x : y + 1] + ("" if y < len(text) else "\n") for x, y in spans]
 
-    def __init__(self, text: str, model: PairModel):
-        self.spans = [m.span() for m in FOREIGN.finditer(text)]
-        padded = "\n" + text + "\n"
-        self.gains = model.gains([padded[x : y + 2] for x, y in self.spans])
 
-    def may_swap(self) -> bool:
-        """Whether all words taken together could gain the margin by one swap."""
-        return bool(self.spans) and bool(np.maximum(self.gains, 0.0).sum(axis=0).max() > MARGIN)
+def _to_blanks(text: str, a: int, b: int) -> tuple[int, int]:
+    """text[a:b] with the rest of the words at its ends."""
+    return max(text.rfind(ch, 0, a) for ch in BLANKS) + 1, min((z for z in (text.find(ch, b) for ch in BLANKS) if z >= 0), default=len(text))
 
 
-def _undo_swap(text: str, a: int, b: int, words: Words) -> tuple[str, float, int] | None:
+def _undo_swap(text: str, a: int, b: int, model: PairModel) -> tuple[str, float, int] | None:
     """The best single-byte swap of whole words of text[a:b]: its maximum-scoring stretch of words must gain the margin."""
-    first, last = bisect_left(words.spans, (a, a)), bisect_left(words.spans, (b, b))
-    spans, gains = words.spans[first:last], words.gains[first:last].T
-    if not spans or np.maximum(gains, 0.0).sum(axis=1).max() <= MARGIN:
+    spans, keys = _words(text, a, b)
+    known = model.gains(keys)
+    if sum(most for most, _ in known) <= MARGIN:
+        return None
+    gains = np.array([row for _, row in known]).T
+    if np.maximum(gains, 0.0).sum(axis=1).max() <= MARGIN:
         return None
     total = np.hstack([np.zeros((len(gains), 1)), np.cumsum(gains, axis=1, dtype=np.float64)])
     above = total - np.minimum.accumulate(total, axis=1)
@@ -619,9 +623,10 @@ def _undo_swap(text: str, a: int, b: int, words: Words) -> tuple[str, float, int
 
 def _spread_swap(text: str, k: int, model: PairModel) -> str:
     """A swap that holds in one place of a text, done to its other words that gain by it."""
-    words = Words(text, model)
+    spans, keys = _words(text, 0, len(text))
     out, at = [], 0
-    for (x, y), won in zip(words.spans, words.gains[:, k]):
+    for (x, y), (_, row) in zip(spans, model.gains(keys)):
+        won = row[k]
         if won > LEAST_WORD:
             out += (text[at:x], text[x:y].translate(swaps()[k]))
             at = y
@@ -651,11 +656,13 @@ def suspects(texts: list[str], model: PairModel) -> np.ndarray:
         if low < high and not out[i]:
             at = whole.starts[i]
             out[i] = any(model.viable(texts[i][m - at : m - at + 4], int(whole.marks[m])) for m in marked[low:high].tolist())
-    run = np.zeros(len(texts), dtype=bool)
-    run[text] = True
-    for i in np.flatnonzero(~out & run):
-        t = texts[i]
-        out[i] = _may_be_east(t) or Words(t, model).may_swap()
+    x, y = np.maximum(a - 4, whole.starts[text]) - whole.starts[text], np.minimum(b + 4, whole.ends[text]) - whole.starts[text]
+    open_ = [(i, _words(texts[i], *_to_blanks(texts[i], low, max(low, high)))[1]) for i, low, high in zip(text.tolist(), x.tolist(), y.tolist()) if not out[i]]
+    known = iter(model.gains([k for _, keys in open_ for k in keys]))
+    for i, keys in open_:
+        out[i] |= sum(most for most, _ in islice(known, len(keys))) > MARGIN
+    for i in np.unique(text[~out[text]]):
+        out[i] = _may_be_east(texts[i])
     for i in np.flatnonzero(~out):
         out[i] = bool(WIDE.search(texts[i])) and any(_plausible(x, model) for e in WIDE_READ for x in SEQUENCES.findall(texts[i].encode(e, "replace")))
     return out
@@ -673,8 +680,6 @@ def restore(text: str, model: PairModel, deep: bool = True, rounds: int = 6) ->
         out, at, changed, swapped = [], 0, 0, set()
         marks = model.marks(text)
         runs = model.runs(text)
-        words = Words(text, model) if deep and runs else None
-        swappable = words is not None and words.may_swap()
         east = deep and _may_be_east(text)
         for a, b in runs:
             a, b = max(at, a - 3), min(len(text), b + 3)
@@ -684,10 +689,9 @@ def restore(text: str, model: PairModel, deep: bool = True, rounds: int = 6) ->
             undone = _undo_utf8(text, a, b, model, bits) if bits else None
             if deep:
                 tried = [x for x in (undone, _undo_east(text, a, b, model) if east else None) if x]
-                swap = None
-                if swappable:
-                    x, y = max(at, *(text.rfind(ch, 0, a) + 1 for ch in BLANKS)), min(len(text), *(z for z in (text.find(ch, b) for ch in BLANKS) if z >= 0), len(text))
-                    swap = _undo_swap(text, x, y, words)
+                x, y = _to_blanks(text, a, b)
+                x = max(at, x)
+                swap = _undo_swap(text, x, y, model)
                 undone = max(tried, key=lambda t: t[1], default=None)
                 if swap and (undone is None or swap[1] > undone[1]):
                     undone, a, b = swap, x, y
