@@ -110,3 +110,34 @@ def test_counts_do_not_depend_on_partitions(spark):
     many = {tuple(r) for r in G.pair_counts(df.repartition(4)).collect()}
     total = lambda x: sum(n for p, n in x if p != 10 * G.SIZE + 10)
     assert total(one) == total(many)
+
+
+def _garblings():
+    for k, text in enumerate(CLEAN):
+        for read in ("cp1252", "cp1251", "cp437", "gbk"):
+            yield text
+            for whole in (True, False):
+                part = text if whole else text[: len(text) // 2]
+                try:
+                    once = part.encode("utf-8").decode(read)
+                    yield once + text[len(part) :]
+                    yield once.encode("utf-8").decode(read) + text[len(part) :]
+                except UnicodeDecodeError:
+                    pass
+
+
+def test_one_round_finds_the_same_texts(model):
+    for text in _garblings():
+        once, many = G.restore(text, model, rounds=1), G.restore(text, model)
+        assert bool(once[1] or not once[2]) == bool(many[1] or not many[2]), text
+
+
+def test_the_batch_test_misses_nothing(model):
+    texts = list(_garblings())
+    kept = G.suspects(texts, model)
+    assert 0 < kept.sum()
+    for text, keep in zip(texts, kept):
+        if not keep:
+            assert G.restore(text, model) == (text, 0, True)
+    # the place in the batch does not matter
+    assert [bool(G.suspects([t], model)[0]) for t in texts] == kept.tolist()

@@ -668,8 +668,13 @@ def suspects(texts: list[str], model: PairModel) -> np.ndarray:
     return out
 
 
-def restore(text: str, model: PairModel, deep: bool = True, rounds: int = 6) -> tuple[str, int, bool]:
-    """(restored text, runs undone, whether all that was found could be restored)."""
+ROUNDS = 6
+
+
+def restore(text: str, model: PairModel, deep: bool = True, rounds: int = ROUNDS) -> tuple[str, int, bool]:
+    """(restored text, runs undone, whether all that was found could be restored).
+
+    A round undoes all runs of a text; further rounds go on from what it gave, as long as one changes something."""
     found = 0
     for _ in range(rounds):
         if text.isascii():
@@ -719,9 +724,11 @@ def _model(pairs: bytes, counts: bytes) -> PairModel:
     return _models[key]
 
 
-def garbled(df: DataFrame, key: str, text: str = "text") -> DataFrame:
+def garbled(df: DataFrame, key: str, text: str = "text", rounds: int = ROUNDS) -> DataFrame:
     """(key, restored, runs, whole) of every text with a garbled sequence.
 
+    With one round the same texts come out, but those garbled in layers are not restored to the end: for callers that want the keys only.
+
     ``runs``: stretches undone; ``whole``: nothing is left that cannot be restored. Null, empty and ASCII texts
     are never garbled. The pair counts come from all rows of ``df``; an empty table gives no rows. Beside them
     nothing is shuffled or broadcast, and their size is bounded by SIZE squared.
@@ -737,7 +744,7 @@ def garbled(df: DataFrame, key: str, text: str = "text") -> DataFrame:
             out, keys, at = [], batch["key"].tolist(), 0
             for texts in _slices(batch["text"]):
                 for i in np.flatnonzero(suspects(texts, model)):
-                    fresh, runs, whole = restore(texts[i], model)
+                    fresh, runs, whole = restore(texts[i], model, rounds=rounds)
                     if runs or not whole:
                         out.append((keys[at + i], fresh, runs, whole))
                 at += len(texts)
