@@ -50,10 +50,12 @@ def word_sets(df: DataFrame, corpus: str, text: str = "text") -> DataFrame:
 
     Records with null id, text or split, or fewer than 8 distinct words, take no part.
     """
-    words = F.array_sort(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))))
+    words = F.sort_array(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z0-9]+"), F.lit(0))))
     return (
-        df.select(F.lit(corpus).alias("corpus"), "id", plain(F.col("split")).alias("split"), "source", words.alias("words"))
-        .filter((F.size("words") >= LEAST_WORDS) & F.col("id").isNotNull() & F.col("split").isNotNull())
+        df.filter(F.col("id").isNotNull())
+        # by explode, which the optimizer does not see through: the words are taken once, not again for size and key
+        .select(F.lit(corpus).alias("corpus"), "id", plain(F.col("split")).alias("split"), "source", F.explode(F.array(words)).alias("words"))
+        .filter((F.size("words") >= LEAST_WORDS) & F.col("split").isNotNull())
         .withColumn("set_key", F.md5(F.array_join("words", " ")))
     )
 
