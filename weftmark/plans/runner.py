@@ -12,14 +12,14 @@ from pyspark.sql import functions as F
 
 from weftmark.operators import graph, metrics
 from weftmark.plans import stats
-from weftmark.plans.config import ExperimentConfig, SweepConfig, expand, load
+from weftmark.plans.config import Config, combinations, read, toml
 from weftmark.plans.pipeline import Outcome, Pipeline
 from weftmark.runtime import materialize
 from weftmark.sources.readers import DATASETS, Dataset
 
 
-def dataset(spark: SparkSession, config: ExperimentConfig) -> Dataset:
-    return DATASETS[config.dataset.name](spark, **config.dataset.params)
+def dataset(spark: SparkSession, config: Config) -> Dataset:
+    return DATASETS[config["dataset"].name](spark, **config["dataset"].params)
 
 
 def _concepts(outcome: Outcome, dim: int) -> DataFrame:
@@ -39,13 +39,13 @@ def _mentions(outcome: Outcome, truth: dict[str, DataFrame]) -> DataFrame:
     return predicted.join(gold, "mention")
 
 
-def run_on(spark: SparkSession, config: ExperimentConfig, documents: DataFrame, truth: dict[str, DataFrame]) -> dict[str, dict[str, float]]:
+def run_on(spark: SparkSession, config: Config, documents: DataFrame, truth: dict[str, DataFrame]) -> dict[str, dict[str, float]]:
     """Metric values by metric name and key, of the documents given."""
     pipeline = Pipeline(spark, config)
     outcome = pipeline.run(documents)
     concepts, relations = _concepts(outcome, pipeline.dim), materialize(graph.relations(outcome.induced))
     out: dict[str, dict[str, float]] = {}
-    for m in config.metrics:
+    for m in config.families["metrics"]:
         if m.name == "label-f1":
             row = metrics.label_f1(concepts, truth["concept_labels"])
         elif m.name == "edge-f1":
@@ -55,7 +55,7 @@ def run_on(spark: SparkSession, config: ExperimentConfig, documents: DataFrame,
         else:
             row = metrics.hierarchy_sanity(relations)
         out[m.name] = {k.replace("_at_", "@").replace("_", "-") if m.name != "edge-f1" else k: float(v) for k, v in row.first().asDict().items()}
-    for m in config.document_metrics:
+    for m in config.families["document_metrics"]:
         if m.name == "f1-at-k":
             row = metrics.f1_at_k(outcome.selected, truth["keyphrases_by_document"], tuple(m.params.get("ks", (5, 10, 15))))
         elif m.name == "clustering":
@@ -66,20 +66,20 @@ def run_on(spark: SparkSession, config: ExperimentConfig, documents: DataFrame,
     return out
 
 
-def run_experiment(spark: SparkSession, config: ExperimentConfig) -> dict:
+def run_experiment(spark: SparkSession, config: Config) -> dict:
     """Report: config, documents_processed, errors, metrics."""
     data = dataset(spark, config)
     bad = F.col("doc_id").isNull() | F.col("text").isNull()
     errors = data.documents.filter(bad).count()
-    if errors and config.run.on_error == "fail":
+    if errors and config.on_error == "fail":
         raise ValueError(f"{errors} documents have no id or no text")
-    return {"config": config.model_dump(), "documents_processed": data.documents.count(), "errors": errors, "metrics": run_on(spark, config, data.documents.filter(~bad), data.truth)}
+    return {"config": config.plain(), "documents_processed": data.documents.count(), "errors": errors, "metrics": run_on(spark, config, data.documents.filter(~bad), data.truth)}
 
 
-def run_sweep(spark: SparkSession, sweep: SweepConfig) -> list[dict]:
+def run_sweep(spark: SparkSession, sweep: dict) -> list[dict]:
     """A row a combination: axis names with their parameters, errors, metrics."""
     rows = []
-    for choice, config in expand(sweep):
+    for choice, config in combinations(sweep):
         report = run_experiment(spark, config)
         row = {f"axis:{n}": s.name for n, s in choice.items()} | {f"params:{n}": json.dumps(s.params, sort_keys=True) for n, s in choice.items() if s.params}
         row |= {f"{m}.{k}": v for m in sorted(report["metrics"]) for k, v in sorted(report["metrics"][m].items())}
@@ -98,7 +98,7 @@ def write_sweep(rows: list[dict], folder: str | Path) -> None:
     (folder / "sweep-report.md").write_text("\n".join(lines) + "\n")
 
 
-def holistic_intervals(spark: SparkSession, config: ExperimentConfig, samples: int, seed: int, level: float = 0.95, fixed: int = 0) -> dict:
+def holistic_intervals(spark: SparkSession, config: Config, samples: int, seed: int, level: float = 0.95, fixed: int = 0) -> dict:
     """Percentile intervals from running the pipeline on seeded resamples of the documents; the first ``fixed`` are always kept."""
     data = dataset(spark, config)
     docs = materialize(stats.numbered(data.documents.select("doc_pos", "doc_id", "text"), "doc_pos"))
@@ -115,10 +115,10 @@ def holistic_intervals(spark: SparkSession, config: ExperimentConfig, samples: i
     for (m, k), values in drawn.items():
         span = stats.percentile_interval(estimates[m][k], values, level)
         out.setdefault(m, {})[k] = {"estimate": estimates[m][k], "percentile": {"lo": span.lo, "hi": span.hi, "method": span.method}}
-    return {"seed": seed, "level": level, "samples": samples, "config": config.model_dump(), "metrics": out}
+    return {"seed": seed, "level": level, "samples": samples, "config": config.plain(), "metrics": out}
 
 
-def order_spread(spark: SparkSession, config: ExperimentConfig, permutations: int, seed: int, fixed: int = 0) -> dict[str, dict[str, float]]:
+def order_spread(spark: SparkSession, config: Config, permutations: int, seed: int, fixed: int = 0) -> dict[str, dict[str, float]]:
     """Spread of each metric over seeded orders of the documents."""
     data = dataset(spark, config)
     docs = materialize(stats.numbered(data.documents.select("doc_pos", "doc_id", "text"), "doc_pos"))
@@ -135,7 +135,7 @@ def order_spread(spark: SparkSession, config: ExperimentConfig, permutations: in
     return out
 
 
-def keyphrase_intervals(spark: SparkSession, config: ExperimentConfig, samples: int, seed: int, level: float = 0.95) -> dict:
+def keyphrase_intervals(spark: SparkSession, config: Config, samples: int, seed: int, level: float = 0.95) -> dict:
     """Item-level BCa and percentile intervals of f1-at-k from one run: per-document values are resampled in Spark,
     the jackknife of a mean comes from its sums."""
     data = dataset(spark, config)
@@ -152,7 +152,7 @@ def keyphrase_intervals(spark: SparkSession, config: ExperimentConfig, samples:
         values = [r[k] for r in boot]
         bca, pct = stats.bca_from_moments(estimate[k], values, sums[f"{k}:2"], sums[f"{k}:3"], level), stats.percentile_interval(estimate[k], values, level)
         out[k.replace("_at_", "@")] = {"estimate": estimate[k], "bca": bca.__dict__, "percentile": pct.__dict__}
-    return {"seed": seed, "level": level, "samples": samples, "config": config.model_dump(), "metrics": {"f1-at-k": out}}
+    return {"seed": seed, "level": level, "samples": samples, "config": config.plain(), "metrics": {"f1-at-k": out}}
 
 
 def main(arguments: Sequence[str]) -> int:
@@ -162,14 +162,14 @@ def main(arguments: Sequence[str]) -> int:
         return 2
     spark = SparkSession.builder.getOrCreate()
     if arguments[0] == "--sweep":
-        write_sweep(run_sweep(spark, load(arguments[1], SweepConfig)), arguments[2])
+        write_sweep(run_sweep(spark, toml(arguments[1])), arguments[2])
     elif arguments[0] == "--intervals":
         samples, seed = (int(x) for x in [*arguments[3:], "1000", "0"][:2]) if len(arguments) != 4 else (int(arguments[3]), 0)
-        report = holistic_intervals(spark, load(arguments[1]), samples, seed)
+        report = holistic_intervals(spark, read(arguments[1], True), samples, seed)
         Path(arguments[2]).mkdir(parents=True, exist_ok=True)
         (Path(arguments[2]) / "interval-report.json").write_text(json.dumps(report, indent=2, sort_keys=True))
     else:
-        print(json.dumps(run_experiment(spark, load(arguments[0])), indent=2, sort_keys=True))
+        print(json.dumps(run_experiment(spark, read(arguments[0], True)), indent=2, sort_keys=True))
     return 0
 
 
