@@ -1,26 +1,26 @@
 """Parent-child rows to full hierarchies.
 
-Frontier joins from the nodes upwards, where round k covers 2**k levels: a frontier row (node, end)
-says that ``end`` is exactly 2**k steps above ``node``, or is a root at most that far. Joining the
-frontier with itself doubles the levels, so a chain of a thousand levels takes ten rounds, not a
-thousand. Roots absorb. Every round is one shuffle join and one aggregate, written to the shared
-folder; only two counts a round reach the driver.
-
-Why the counts suffice as a stop: the shortest distance of (node, root) falls by one along a shortest
-path, so all distances up to the largest occur; a round that finds no new (node, root) pair is the last
-that could. The same holds for the longest walk of a node from which only finite walks start, so the
-set of nodes that still have an unfinished walk becomes exactly the nodes that reach a cycle.
+1. Chains are contracted: a node with one parent points at it, and pointers are doubled until they end at a node
+   with several parents (a branching node) or at a root. One row a node, and rounds in the logarithm of the
+   longest chain; a pointer that never ends leads into a cycle of such nodes.
+2. What is left is a small graph of the branching nodes, with the chains as weighted edges. Nodes without
+   parents and without children are peeled off level by level; what remains holds its cycles, of which
+   the strongly connected parts are found by colours. Nothing ever holds pairs of nodes of a cyclic part.
+3. From the roots the frontier goes down level by level over this graph; only (node, root) pairs that are new or
+   nearer go on. At the end the nodes of the chains take over what the upper end of their chain has.
+
+Every round is a shuffle join and an aggregate, written to the shared folder; only counts reach the driver.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftmark.runtime import materialize, release
 
-CLOSURE_FACTOR = 64
-
 
 def plain(col):
     """Text "spelling aside": outer spaces off, runs of spaces to one, lower case."""
@@ -36,33 +36,83 @@ def typed_edges(relations: DataFrame, kind: str = "is_a", child: str = "source_i
     )
 
 
-def _climb(edges: DataFrame) -> DataFrame:
-    """Frontier at the fixpoint: (node, end, at_root, steps, most).
-
-    Rows with ``at_root`` are all (node, root) pairs with their shortest distance and, where no cycle is
-    above the node, their longest. The nodes of the other rows are exactly those from which an endless walk
-    starts.
-    """
-    tops = edges.select(F.col("parent").alias("end")).join(edges.select(F.col("child").alias("end")), "end", "left_anti").distinct()
-    front = materialize(
-        edges.select(F.col("child").alias("node"), F.col("parent").alias("end"))
-        .join(tops.withColumn("at_root", F.lit(True)), "end", "left")
-        .select("node", "end", F.coalesce("at_root", F.lit(False)).alias("at_root"), F.lit(1).cast("long").alias("steps"), F.lit(1).cast("long").alias("most"))
-    )
-    before = None
-    while True:
-        now = front.agg(F.count_if("at_root"), F.count_distinct(F.when(~F.col("at_root"), F.col("node")))).first()
-        if now[1] == 0 or tuple(now) == before:
-            return front
-        before = tuple(now)
-        open_ = front.filter(~F.col("at_root")).select("node", F.col("end").alias("via"), F.col("steps").alias("a"), F.col("most").alias("m"))
-        on = front.select(F.col("node").alias("via"), "end", "at_root", F.col("steps").alias("b"), F.col("most").alias("n"))
-        further = open_.join(on, "via").select("node", "end", "at_root", (F.col("a") + F.col("b")).alias("steps"), (F.col("m") + F.col("n")).alias("most"))
-        nxt = materialize(
-            front.filter("at_root").unionByName(further).groupBy("node", "end", "at_root").agg(F.min("steps").alias("steps"), F.max("most").alias("most"))
+@dataclass
+class Contracted:
+    """Edges with their chains contracted."""
+
+    edges: DataFrame
+    jumps: list[DataFrame]  # k: (node, to, steps, open), 2**k steps up the chain, or to its end where ``open`` is false
+    tops: DataFrame  # (node, to, steps): nodes of one parent and the end of their chain
+    endless: DataFrame  # (node, to): nodes of one parent whose chain has no end, and 2**k steps up
+    kernel: DataFrame  # (child, via, target, steps): edges of branching nodes; via is the parent, target the end of its chain
+    lost: DataFrame  # (node): branching nodes with a parent whose chain has no end
+
+    @property
+    def branching(self) -> DataFrame:
+        return self.edges.join(self.jumps[0].select(F.col("node").alias("child")), "child", "left_anti").select(F.col("child").alias("node")).distinct()
+
+
+def contract(edges: DataFrame, keep: DataFrame | None = None) -> Contracted:
+    """Chains of ``edges`` (distinct child, parent) contracted; nodes of ``keep`` (node) are taken as branching."""
+    single = edges.groupBy("child").agg(F.count("*").alias("n"), F.first("parent").alias("to")).filter("n = 1").select(F.col("child").alias("node"), "to")
+    if keep is not None:
+        single = single.join(keep.select("node"), "node", "left_anti")
+    single = materialize(single)
+    among = single.select(F.col("node").alias("to"), F.lit(True).alias("open"))
+    jumps = [materialize(single.join(among, "to", "left").select("node", "to", F.lit(1).cast("long").alias("steps"), F.coalesce("open", F.lit(False)).alias("open")))]
+    left = jumps[0].filter("open").count()
+    while left:
+        now = jumps[-1]
+        on = now.select(F.col("node").alias("via"), "to", F.col("steps").alias("b"), "open")
+        further = now.filter("open").select("node", F.col("to").alias("via"), F.col("steps").alias("a")).join(on, "via").select("node", "to", (F.col("a") + F.col("b")).alias("steps"), "open")
+        jumps.append(materialize(now.filter("not open").unionByName(further)))
+        before, left = left, jumps[-1].filter("open").count()
+        if left == before:  # a chain of any length has nodes at all shorter distances from its end, so none of these ends
+            break
+    tops, endless = jumps[-1].filter("not open").select("node", "to", "steps"), jumps[-1].filter("open").select("node", "to")
+    rest = edges.join(single.select(F.col("node").alias("child")), "child", "left_anti")
+    ends = jumps[-1].select(F.col("node").alias("parent"), "to", "steps", "open")
+    found = materialize(
+        rest.join(ends, "parent", "left").select(
+            "child", F.col("parent").alias("via"), F.coalesce("to", "parent").alias("target"), (F.coalesce("steps", F.lit(0)) + 1).alias("steps"), F.coalesce("open", F.lit(False)).alias("open")
         )
-        release(front)
-        front = nxt
+    )
+    return Contracted(edges, jumps, tops, endless, found.filter("not open").drop("open"), found.filter("open").select(F.col("child").alias("node")).distinct())
+
+
+def _roots(edges: DataFrame) -> DataFrame:
+    """(node) of the parents that are no child."""
+    return edges.select(F.col("parent").alias("node")).join(edges.select(F.col("child").alias("node")), "node", "left_anti").distinct()
+
+
+def _rooted(c: Contracted) -> DataFrame:
+    """(node, root, steps): all roots above each node, with the fewest steps; level by level from the roots down."""
+    tops = materialize(_roots(c.edges))
+    at_root = tops.select(F.col("node").alias("target"))
+    first = c.kernel.join(at_root, "target", "left_semi").groupBy(F.col("child").alias("node"), F.col("target").alias("root")).agg(F.min("steps").alias("steps"))
+    known = materialize(first.withColumn("new", F.lit(True)))
+    while known.filter("new").take(1):
+        front = known.filter("new").select(F.col("node").alias("target"), "root", F.col("steps").alias("a"))
+        offered = c.kernel.join(front, "target").select(F.col("child").alias("node"), "root", (F.col("a") + F.col("steps")).alias("steps"), F.lit(None).cast("long").alias("was"))
+        merged = known.select("node", "root", "steps", F.col("steps").alias("was")).unionByName(offered).groupBy("node", "root").agg(F.min("steps").alias("steps"), F.min("was").alias("was"))
+        nxt = materialize(merged.select("node", "root", "steps", (F.col("was").isNull() | (F.col("steps") < F.col("was"))).alias("new")))
+        release(known)
+        known = nxt
+    known = known.drop("new")
+    chains = c.tops.join(known.select(F.col("node").alias("to"), "root", F.col("steps").alias("a")), "to").select("node", "root", (F.col("steps") + F.col("a")).alias("steps"))
+    straight = c.tops.join(tops.select(F.col("node").alias("to")), "to", "left_semi").select("node", F.col("to").alias("root"), "steps")
+    return known.unionByName(chains).unionByName(straight)
+
+
+def _above_cycles(c: Contracted, loops: DataFrame) -> DataFrame:
+    """(node) of the nodes from which a cycle is reached, those on one included."""
+    known = materialize(c.lost.unionByName(loops.select("node").join(c.branching, "node", "left_semi")).distinct())
+    new = known
+    while new.take(1):
+        new = materialize(c.kernel.join(new.select(F.col("node").alias("target")), "target", "left_semi").select(F.col("child").alias("node")).distinct().join(known, "node", "left_anti"))
+        known = materialize(known.unionByName(new))
+    chains = c.tops.join(known.select(F.col("node").alias("to")), "to", "left_semi").select("node")
+    return known.unionByName(chains).unionByName(c.endless.select("node"))
 
 
 def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -74,26 +124,37 @@ def _within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     )
 
 
-def _on_cycles(core: DataFrame) -> DataFrame:
-    """(node, part) of the nodes that reach themselves, ``part`` naming their strongly connected part: closure by squaring while it stays in
-    proportion to the graph, else strongly connected parts by label propagation (exact as well)."""
-    size = core.count()
-    pairs, known = core, size
-    while True:
-        nxt = materialize(
-            pairs.unionByName(pairs.alias("a").join(pairs.alias("b"), F.col("a.parent") == F.col("b.child")).select(F.col("a.child"), F.col("b.parent"))).distinct()
+def _peeled(edges: DataFrame) -> DataFrame:
+    """Edges left when nodes without parents and nodes without children are taken off until there are none."""
+    left = edges.count()
+    while left:
+        kept = materialize(
+            edges.join(edges.select(F.col("parent").alias("child")).distinct(), "child", "left_semi").join(edges.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent")
         )
-        if pairs is not core:
-            release(pairs)
-        n = nxt.count()
-        pairs = nxt
-        if n == known:
-            back = pairs.select(F.col("child").alias("parent"), F.col("parent").alias("child"))
-            return pairs.join(back, ["child", "parent"], "left_semi").groupBy(F.col("child").alias("node")).agg(F.min("parent").alias("part"))
-        if n > CLOSURE_FACTOR * max(size, 10_000):
-            release(pairs)
-            return _coloured(core)
-        known = n
+        before, left, edges = left, kept.count(), kept
+        if left == before:
+            break
+    return edges
+
+
+def _pure_cycles(c: Contracted) -> DataFrame:
+    """(node, part) of the nodes of one parent on cycles of such nodes: what pointers keep leading to."""
+    if not c.endless.take(1):
+        return c.endless.select("node", F.col("node").alias("part"))
+    jump, size = c.endless, None
+    while True:
+        ring = materialize(jump.select(F.col("to").alias("node")).distinct())
+        before, size = size, ring.count()
+        if size == before:  # the pointers map the nodes onto themselves
+            break
+        jump = materialize(jump.withColumnRenamed("to", "via").join(jump.withColumnRenamed("node", "via"), "via").select("node", "to"))
+    low = materialize(c.jumps[0].join(ring, "node", "left_semi").select("node", "to", F.col("node").alias("part")))
+    while True:  # the least node of ever longer stretches; where none changes, of the whole cycle
+        on = low.select(F.col("node").alias("via"), "to", F.col("part").alias("other"))
+        nxt = materialize(low.withColumnRenamed("to", "via").join(on, "via").select("node", "to", F.least("part", "other").alias("part"), (F.col("other") < F.col("part")).alias("changed")))
+        low = nxt.drop("changed")
+        if not nxt.filter("changed").take(1):
+            return low.select("node", "part")
 
 
 def _coloured(core: DataFrame) -> DataFrame:
@@ -142,20 +203,20 @@ def _coloured(core: DataFrame) -> DataFrame:
     return found.unionByName(alone.select("node", F.col("node").alias("part")))
 
 
-def cycle_nodes(edges: DataFrame, climbed: DataFrame | None = None) -> DataFrame:
-    """(node, part) of every node that reaches itself by one or more steps; ``part`` is the same for nodes that reach each other.
-
-    Only nodes with a cycle above them and a cycle below them can lie on one; both sets come from
-    ``_climb``, upwards and, within the first, downwards.
-    """
-    up = _climb(edges) if climbed is None else climbed
-    above = materialize(up.filter(~F.col("at_root")).select("node").distinct())
-    if not above.take(1):
-        return above.select("node", F.col("node").alias("part"))
-    inner = materialize(_within(edges, above))
-    down = _climb(inner.select(F.col("parent").alias("child"), F.col("child").alias("parent")))
-    core = down.filter(~F.col("at_root")).select("node").distinct()
-    return materialize(_on_cycles(materialize(_within(inner, core))))
+def cycle_nodes(edges: DataFrame, contracted: Contracted | None = None) -> DataFrame:
+    """(node, part) of every node that reaches itself by one or more steps; ``part`` is the same for nodes that reach each other."""
+    c = contract(edges) if contracted is None else contracted
+    between = materialize(c.kernel.select("child", F.col("target").alias("parent")).join(c.branching.select(F.col("node").alias("parent")), "parent", "left_semi").select("child", "parent").distinct())
+    parts = materialize(_coloured(_peeled(between)))
+    # chains between two nodes of one part: what lies on them, by jumps of ever shorter length
+    inside = c.kernel.join(parts.toDF("child", "part"), "child").join(parts.toDF("target", "other"), "target").filter("part = other and via <> target")
+    marked = materialize(inside.select(F.col("via").alias("node"), "part").distinct())
+    lengths = [j.filter("open").select("node", "to") for j in reversed(c.jumps)] if marked.take(1) else []
+    for k in range(0, len(lengths), 3):  # three lengths a round
+        for jump in lengths[k : k + 3]:
+            marked = marked.unionByName(marked.join(jump, "node").select(F.col("to").alias("node"), "part"))
+        marked = materialize(marked.distinct())
+    return materialize(parts.unionByName(marked).unionByName(_pure_cycles(c)))
 
 
 def roots_and_cycles(edges: DataFrame) -> DataFrame:
@@ -164,12 +225,9 @@ def roots_and_cycles(edges: DataFrame) -> DataFrame:
     ``edges``: distinct (child, parent). Empty edges give no rows; an edge to oneself is a cycle; a node on
     a cycle keeps the roots it reaches.
     """
-    climbed = _climb(edges)
-    loops = cycle_nodes(edges, climbed)
-    return (
-        climbed.filter("at_root")
-        .select(F.col("node").alias("concept_id"), F.col("end").alias("root_id"))
-        .unionByName(loops.select(F.col("node").alias("concept_id"), F.col("node").alias("root_id")))
+    c = contract(edges)
+    return _rooted(c).select(F.col("node").alias("concept_id"), F.col("root").alias("root_id")).unionByName(
+        cycle_nodes(edges, c).select(F.col("node").alias("concept_id"), F.col("node").alias("root_id"))
     )
 
 
@@ -205,11 +263,11 @@ def node_summary(edges: DataFrame) -> DataFrame:
     ``depth``: fewest steps to a root, 0 for a root, null where no root is reached. ``roots``: number of
     distinct roots above; ``on_cycle``: the node reaches itself.
     """
-    climbed = _climb(edges)
-    loops = cycle_nodes(edges, climbed)
+    c = contract(edges)
+    loops = cycle_nodes(edges, c)
     nodes = edges.select(F.explode(F.array("child", "parent")).alias("node")).distinct()
-    tops = edges.select(F.col("parent").alias("node")).distinct().join(edges.select(F.col("child").alias("node")), "node", "left_anti")
-    met = climbed.filter("at_root").groupBy("node").agg(F.min("steps").alias("depth"), F.count("*").alias("roots"))
+    tops = _roots(edges)
+    met = _rooted(c).groupBy("node").agg(F.min("steps").alias("depth"), F.count("*").alias("roots"))
     met = met.unionByName(tops.select("node", F.lit(0).cast("long").alias("depth"), F.lit(0).cast("long").alias("roots")))
     return (
         nodes.join(met, "node", "left")
@@ -246,12 +304,13 @@ def root_paths(edges: DataFrame, node_ids: DataFrame | None = None) -> DataFrame
     ``root_id``: the stretch up to the cycle. A node on a cycle has the path of itself alone as that stretch.
     The size is that of all simple paths, which grows exponentially where many levels have several parents.
     """
-    climbed = _climb(edges)
-    rooted = climbed.filter("at_root")
-    roots = rooted.select(F.col("end").alias("node")).distinct()
+    c = contract(edges)
+    rooted = materialize(_rooted(c).select("node", "root"))
+    roots = rooted.select(F.col("root").alias("node")).distinct()
     to_root = _paths_to(materialize(_within(edges, materialize(rooted.select("node").union(roots).distinct()))), roots)
-    loops = cycle_nodes(edges, climbed).select("node")
-    above = climbed.filter(~F.col("at_root")).select("node").distinct()
+    found = cycle_nodes(edges, c)
+    loops = found.select("node")
+    above = materialize(_above_cycles(c, found).distinct())
     below = materialize(_within(edges, above).join(loops.select(F.col("node").alias("child")), "child", "left_anti"))
     to_cycle = _paths_to(below, loops)
     out = to_root.unionByName(to_cycle).unionByName(loops.select("node", F.col("node").alias("end"), F.array("node").alias("path")))
@@ -262,7 +321,17 @@ def root_paths(edges: DataFrame, node_ids: DataFrame | None = None) -> DataFrame
 
 def longest_walk(edges: DataFrame) -> int:
     """Most edges on a path of an acyclic graph; 0 without edges."""
-    return int(_climb(edges).filter("at_root").agg(F.coalesce(F.max("most"), F.lit(0))).first()[0])
+    c = contract(edges)
+    known = materialize(c.kernel.groupBy(F.col("child").alias("node")).agg(F.max("steps").alias("most")).withColumn("new", F.lit(True)))
+    while known.filter("new").take(1):
+        front = known.filter("new").select(F.col("node").alias("target"), F.col("most").alias("a"))
+        offered = c.kernel.join(front, "target").select(F.col("child").alias("node"), (F.col("a") + F.col("steps")).alias("most"), F.lit(None).cast("long").alias("was"))
+        merged = known.select("node", "most", F.col("most").alias("was")).unionByName(offered).groupBy("node").agg(F.max("most").alias("most"), F.max("was").alias("was"))
+        nxt = materialize(merged.select("node", "most", (F.col("most") > F.col("was")).alias("new")))
+        release(known)
+        known = nxt
+    chains = c.tops.join(known.withColumnRenamed("node", "to"), "to", "left").select((F.col("steps") + F.coalesce("most", F.lit(0))).alias("most"))
+    return int(known.select("most").unionByName(chains).agg(F.coalesce(F.max("most"), F.lit(0))).first()[0])
 
 
 def shortcut_edges(edges: DataFrame, loops: DataFrame | None = None) -> DataFrame:
@@ -274,7 +343,11 @@ def shortcut_edges(edges: DataFrame, loops: DataFrame | None = None) -> DataFram
     """
     edges = materialize(edges.filter("child <> parent").select("child", "parent").distinct())
     loops = cycle_nodes(edges) if loops is None else loops
-    above = materialize(ancestor_pairs(edges).select(F.col("node").alias("via"), F.col("ancestor").alias("parent")))
+    # only a child of several parents can have such an edge, so only what its parents reach among each other counts
+    several = edges.groupBy("child").count().filter("count > 1").select("child")
+    ends = materialize(edges.join(several, "child", "left_semi").select(F.col("parent").alias("node")).distinct())
+    kernel = contract(edges, ends).kernel.select("child", F.col("target").alias("parent")).distinct()
+    above = materialize(ancestor_pairs(kernel).select(F.col("node").alias("via"), F.col("ancestor").alias("parent")))
     part = loops.select(F.col("node").alias("child"), F.col("part").alias("p1"))
     other = loops.select(F.col("node").alias("via"), F.col("part").alias("p2"))
     starts = edges.withColumnRenamed("parent", "via").join(part, "child", "left").join(other, "via", "left")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -37,7 +38,8 @@ def ship(spark: SparkSession) -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the session; a private one only where the session names none (tests)."""
+    """The shared folder of the session. A private one is made only where the session names none and runs on this machine
+    alone (tests); on a cluster it would be lost with its machine, so there it is an error."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if named:
@@ -45,6 +47,8 @@ def shared_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    if not re.fullmatch(r"local(\[.*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="weftmark-")
     sc.setCheckpointDir(made)
     return made
@@ -59,7 +63,8 @@ def _delete(spark: SparkSession, path: str) -> None:
 def materialize(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared folder and return a scan of it.
 
-    The scan has exact size statistics, so a later join can decide on a broadcast from a checked size.
+    Its size is that of the compressed files: a bound on nothing that is exploded from it. Joins with such a side take a
+    merge hint or a counted size.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/weftmark-{uuid.uuid4().hex}"
