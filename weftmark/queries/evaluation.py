@@ -182,7 +182,20 @@ grid as (select s as sample, k as slot, cast('0x' || substr(md5('{SEED}-' || s |
 boot as (select sample, sum(n) as n, sum(c) as c, sum(n2) as n2, sum(c2) as c2 from grid join num using (position) group by 1),
 shares as (select sample, round(c / n, 9) as share from boot)"""
 
+# walks from each child of several parents by its other edges, for every edge of its own
+_WALKS = """walk as (select e.child, e.parent, o.parent as place from proper e join proper o on o.child = e.child and o.parent <> e.parent
+  union select w.child, w.parent, x.parent from walk w join proper x on x.child = w.place and not (x.child = w.child and x.parent = w.parent)),
+shortcuts as (select distinct child, parent from walk where place = parent)"""
+
 ORACLE = {
+    "metric_hierarchy": f"""with recursive {_R}, edges as (select source_id as child, target_id as parent from r where type = 'IS_A'), proper as (select * from edges where child <> parent),
+pairs as (select child as node, parent as ancestor from proper union select p.node, e.parent from pairs p join proper e on e.child = p.ancestor),
+loops as (select a.node, min(b.node) as part from pairs a join pairs b on a.node = b.ancestor and a.ancestor = b.node where a.node in (select node from pairs where node = ancestor) group by 1),
+free as (select * from proper where child not in (select node from loops) and parent not in (select node from loops)),
+deep as (select child as node, parent as ancestor, 1 as steps from free union select d.node, e.parent, d.steps + 1 from deep d join free e on e.child = d.ancestor), {_WALKS}
+select (select count(distinct part) from loops) as cycle_components, (select count(*) from loops) as cycle_nodes, (select count(*) from edges where child = parent) as self_loops,
+(select coalesce(max(steps), 0) from deep)::bigint as max_depth, (select count(*) from shortcuts) as transitive_shortcuts, (select count(*) from edges) as is_a_edges""",
+    "hierarchy_shortcuts": f"""with recursive {_R}, proper as (select source_id as child, target_id as parent from r where type = 'IS_A' and source_id <> target_id), {_WALKS} select child, parent from shortcuts""",
     "metric_label_f1": f"""with {_C}, a as (select distinct {sql_low('label')} as l from c where label is not null), b as (select distinct {sql_low('term')} as l from documents where term is not null),
 x as (select (select count(*) from a where l in (select l from b))::double as h, (select count(*) from a)::double as p, (select count(*) from b)::double as g),
 y as (select {_PRF} from x) select {_F1} from y""",
