@@ -6,13 +6,15 @@ exact and cosines do not depend on the order of summation; the unit vector is ma
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 DIM = 64
-# An empty match before every code point that has two behind it captures the three; the second half of a
-# surrogate pair is no place to start.
-TRIGRAM = r"(?s)(?!\p{Cs})(?=(...))"
 
 
 def bucket(trigram: Column, dim: int = DIM) -> Column:
@@ -25,31 +27,81 @@ def bucket(trigram: Column, dim: int = DIM) -> Column:
     return rest.cast("int")
 
 
-def trigrams(texts: DataFrame, keys: list[str], padded: Column) -> DataFrame:
-    """(keys, gram): the trigrams of a text, a row each; texts under three characters have none."""
-    return texts.select(*keys, F.explode(F.regexp_extract_all(padded, F.lit(TRIGRAM), F.lit(1))).alias("gram"))
+KNOWN_GRAMS = 1_000_000  # trigrams whose bucket a worker keeps
+_buckets: dict[int, dict[int, int]] = {}
 
 
-def trigram_buckets(texts: DataFrame, keys: list[str], text: str, dim: int = DIM) -> DataFrame:
-    """(keys, bucket, n): how many trigrams of a padded, lower-case text fall in each bucket.
+def _bucket_numbers(grams: np.ndarray, dim: int) -> np.ndarray:
+    """Buckets of trigrams given as 21 bits a code point."""
+    known = _buckets.setdefault(dim, {})
+    if len(known) > KNOWN_GRAMS:
+        known.clear()
+    out = np.empty(len(grams), dtype=np.int64)
+    for i, g in enumerate(grams.tolist()):
+        b = known.get(g)
+        if b is None:
+            text = chr(g >> 42) + chr(g >> 21 & 0x1FFFFF) + chr(g & 0x1FFFFF)
+            b = known[g] = int.from_bytes(hashlib.md5(text.encode()).digest(), "big") % dim
+        out[i] = b
+    return out
+
+
+def count_rows(texts: list[str | None], dim: int) -> np.ndarray:
+    """Counts of the trigrams of each text (row) by bucket (column)."""
+    sizes = np.fromiter((len(t) if t else 0 for t in texts), dtype=np.int64, count=len(texts))
+    points = np.frombuffer("".join(t for t in texts if t).encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.int64)
+    if len(points) < 3:
+        return np.zeros((len(texts), dim), dtype=np.int64)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    whole = owner[:-2] == owner[2:]
+    grams, place = np.unique(((points[:-2] << 42) | (points[1:-1] << 21) | points[2:])[whole], return_inverse=True)
+    cells = owner[:-2][whole] * dim + _bucket_numbers(grams, dim)[place]
+    return np.bincount(cells, minlength=len(texts) * dim).reshape(len(texts), dim)
+
+
+def _arrow_counts(counts: np.ndarray) -> pa.Array:
+    """Rows of counts as lists of (bucket, n) of what is not 0, in bucket order."""
+    rows, buckets = np.nonzero(counts)
+    ends = np.searchsorted(rows, np.arange(len(counts) + 1)).astype(np.int32)
+    items = pa.StructArray.from_arrays([pa.array(buckets.astype(np.int32)), pa.array(counts[rows, buckets].astype(np.int64))], ["bucket", "n"])
+    return pa.ListArray.from_arrays(pa.array(ends), items)
+
 
-    A text of n characters has n trigrams, an empty one none. Equal trigrams are counted before they are
-    hashed, map-side.
+def counted(rows: DataFrame, keys: list[str], plus: Column, minus: Column | None = None, dim: int = DIM) -> DataFrame:
+    """(keys, counts ARRAY<STRUCT<bucket, n>>, square): trigrams of ``plus`` less those of ``minus`` by bucket, row by row.
+
+    Nothing is shuffled; rows without any count are left out. ``square`` is the sum of the squared counts.
     """
-    grams = trigrams(texts, keys, F.concat(F.lit(" "), F.lower(F.col(text)), F.lit(" ")))
-    return grams.groupBy(*keys, "gram").agg(F.count("*").alias("n")).groupBy(*keys, bucket(F.col("gram"), dim).alias("bucket")).agg(F.sum("n").alias("n"))
+    given = rows.select(F.struct(*keys).alias("key"), plus.alias("plus"), (F.lit(None).cast("string") if minus is None else minus).alias("minus"))
+    kind, two = given.schema["key"].dataType.simpleString(), minus is not None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):  # texts may be long
+                batch = whole.slice(at, 1024)
+                counts = count_rows(batch.column(1).to_pylist(), dim)
+                if two:
+                    counts = counts - count_rows(batch.column(2).to_pylist(), dim)
+                used = np.flatnonzero(counts.any(axis=1))
+                counts = counts[used]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(used)), _arrow_counts(counts), pa.array((counts * counts).sum(axis=1))], ["key", "counts", "square"])
+
+    out = given.mapInArrow(run, f"key {kind}, counts array<struct<bucket:int,n:bigint>>, square bigint")
+    return out.select(*[F.col(f"key.{k}").alias(k) for k in keys], "counts", "square")
 
 
 def hashed(texts: DataFrame, keys: list[str], text: str, dim: int = DIM) -> DataFrame:
-    """(keys, counts ARRAY<STRUCT<bucket, n>>, square): sparse counts in bucket order and their summed squares.
+    """(keys, counts ARRAY<STRUCT<bucket, n>>, square): sparse counts of each padded, lower-case text and their summed squares.
 
-    Texts without trigrams are missing from the result; they embed as the zero vector.
+    ``keys`` name a row each. A text of n characters has n trigrams; texts without any are missing from the result
+    and embed as the zero vector.
     """
-    return (
-        trigram_buckets(texts, keys, text, dim)
-        .groupBy(*keys)
-        .agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("counts"), F.sum(F.col("n") * F.col("n")).alias("square"))
-    )
+    return counted(texts, keys, F.concat(F.lit(" "), F.lower(F.col(text)), F.lit(" ")), dim=dim)
+
+
+def trigram_buckets(texts: DataFrame, keys: list[str], text: str, dim: int = DIM) -> DataFrame:
+    """(keys, bucket, n): how many trigrams of a padded, lower-case text fall in each bucket."""
+    return hashed(texts, keys, text, dim).select(*keys, F.explode("counts").alias("c")).select(*keys, "c.bucket", "c.n")
 
 
 def dense(counts: Column, dim: int = DIM) -> Column:

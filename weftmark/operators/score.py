@@ -96,10 +96,7 @@ def mderank(mentions: DataFrame, units: DataFrame, top_k: int = TOP_K, mask: str
         _marks(mentions).join(placed, ["doc_pos", "unit_order"])
         .select("doc_pos", "surface", "k", left.alias("l"), right.alias("r"), F.lower("text").alias("old"), F.lower(_mask(F.col("text"), F.col("marks"), F.col("surface"), mask)).alias("new"))
     )
-    keys = ["doc_pos", "surface", "sign"]
-    inner = vectors.trigrams(changed.withColumn("sign", F.lit(1)), keys, F.concat("l", "new", "r")).unionByName(
-        vectors.trigrams(changed.withColumn("sign", F.lit(-1)), keys, F.concat("l", "old", "r"))
-    )
+    inner = vectors.counted(changed, ["doc_pos", "surface", "k"], F.concat("l", "new", "r"), F.concat("l", "old", "r"), dim).select("doc_pos", "surface", F.explode("counts").alias("c"))
     borders = placed.filter("next_text is not null").select("doc_pos", "k", F.right(F.lower("text"), F.lit(1)).alias("a"), F.left(F.lower("next_text"), F.lit(1)).alias("b"))
     ends = changed.select("doc_pos", "surface", "k", F.right("new", F.lit(1)).alias("a2"))
     starts = changed.select("doc_pos", "surface", (F.col("k") - 1).alias("k"), F.left("new", F.lit(1)).alias("b2"))
@@ -111,8 +108,8 @@ def mderank(mentions: DataFrame, units: DataFrame, top_k: int = TOP_K, mask: str
             F.struct(F.lit(-1).alias("sign"), F.concat("a", F.lit("\n"), "b").alias("gram")),
         )).alias("x"),
     ).select("doc_pos", "surface", "x.sign", "x.gram")
-    net = inner.unionByName(crossing).groupBy("doc_pos", "surface", "gram").agg(F.sum("sign").alias("n")).filter("n <> 0")
-    by_bucket = net.groupBy("doc_pos", "surface", vectors.bucket(F.col("gram"), dim).alias("bucket")).agg(F.sum("n").alias("n"))
+    moves = crossing.select("doc_pos", "surface", vectors.bucket(F.col("gram"), dim).alias("bucket"), F.col("sign").cast("long").alias("n"))
+    by_bucket = inner.select("doc_pos", "surface", "c.bucket", "c.n").unionByName(moves).groupBy("doc_pos", "surface", "bucket").agg(F.sum("n").alias("n")).filter("n <> 0")
     delta = by_bucket.groupBy("doc_pos", "surface").agg(F.collect_list(F.struct("bucket", "n")).alias("delta"), F.sum(F.col("n") * F.col("n")).alias("square"))
     docs = vectors.hashed(document_text(units), ["doc_pos"], "text", dim).select("doc_pos", vectors.dense(F.col("counts"), dim).alias("doc"), F.col("square").alias("q"))
     both = mentions.select("doc_pos", "surface").distinct().join(docs, "doc_pos", "left").join(delta, ["doc_pos", "surface"], "left")
@@ -166,9 +163,7 @@ def hcuke(mentions: DataFrame, units: DataFrame, top_k: int = TOP_K, denoise: fl
         .groupBy("doc_pos", "surface").agg(F.sum(F.col("unit_weight") * dot("s", "d") * dot("v", "s")).alias("overall"))
     )
     vec = pairs.join(surfaces, "surface", "left").withColumn("v", F.coalesce("v", zero))
-    summed = vec.select("doc_pos", F.posexplode("v").alias("i", "x")).groupBy("doc_pos", "i").agg(F.sum("x").alias("x")).groupBy("doc_pos").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda e: e["x"]).alias("sum")
-    )
+    summed = vec.groupBy("doc_pos").agg(*[F.sum(F.col("v")[i]).alias(f"x{i}") for i in range(dim)]).select("doc_pos", F.array(*[f"x{i}" for i in range(dim)]).alias("sum"))
     local = (
         vec.join(summed, "doc_pos")
         .withColumn("others", dot("v", "sum") - dot("v", "v"))
