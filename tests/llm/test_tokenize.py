@@ -1,5 +1,7 @@
 import base64
+import gc
 import random
+from array import array
 
 import tiktoken
 from hypothesis import given, settings
@@ -35,6 +37,21 @@ def test_bounded_table_changes_nothing(monkeypatch):
     assert small.encode(text) == KNOWN.encode_ordinary(text)
 
 
+def test_new_words_cost_few_border_tests_and_nothing_to_collect(monkeypatch):
+    machine, tested = T.Transducer(VOCABULARY), []
+    holds = machine._border_holds
+    monkeypatch.setattr(machine, "_border_holds", lambda left, right: tested.append(right) or holds(left, right))
+    rnd = random.Random(4)
+    words = [f" {rnd.randrange(10**6)}" for _ in range(5000)] + ["日本語" * 50, "antidisestablishmentarianism"]
+    gc.collect()
+    before = len(gc.get_objects())
+    found = [array("i", machine.encode_bytes(word.encode())).tobytes() for word in words]
+    gc.collect()
+    assert len(gc.get_objects()) - before < 500  # was 2,600: a table a state
+    assert all(len(machine.tokens[right]) > 1 for right in tested)  # one hypothesis ends at each byte: if no other, the byte alone
+    assert found == [array("i", KNOWN.encode_ordinary(word)).tobytes() for word in words]
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.binary(max_size=20), st.integers(0, 20))
 def test_incremental_utf8(data, cut):

@@ -3,9 +3,11 @@
 A token sequence is the BPE encoding of its bytes exactly if every two neighbours are compatible, that is,
 if merging never joins across their border. So all encodings form a finite-state machine: states are a
 last token and a place in the token trie. Read left to right it is nondeterministic; here it is
-determinised while it runs. A deterministic state is a set of hypotheses (tokens not yet written, last
-token, trie node); it writes the tokens on which all its hypotheses agree, so output follows the input by a
-bounded lookahead. States and transitions are made when first met and kept in a table of bounded size.
+determinised while it runs. A deterministic state is a set of hypotheses (last token, trie node), one for each
+place where a token may have begun. As every prefix has one encoding, just one hypothesis may end at each byte;
+the machine writes the token that ends so, and the tokens of a pre-token are read off from its end. States and
+transitions are made when first met and kept in tables of bounded size, of plain integers, which cost the garbage
+collector nothing.
 
 A whole pre-token's result is kept too, in a table of bounded size: words repeat. Emptying either table
 changes no result.
@@ -40,20 +42,19 @@ class Transducer:
         self.width = max(self.tokens) + 1
         self._split_pattern = regex.compile(pattern)
         self._child: dict[int, int] = {}  # trie: node * 256 + byte -> node
-        self._ends: dict[int, int] = {}  # node -> token
-        nodes = 1
+        self._ends = [-1]  # token of a node, or -1
         for token, rank in self.ranks.items():
             node = 0
             for byte in token:
                 key = node * 256 + byte
                 node = self._child.get(key)
                 if node is None:
-                    node = self._child[key] = nodes
-                    nodes += 1
+                    node = self._child[key] = len(self._ends)
+                    self._ends.append(-1)
             self._ends[node] = rank
         self._parts: dict[int, tuple[int, int] | None] = {}
         self._fits: dict[int, bool] = {}
-        self._words: dict[str, tuple[int, ...]] = {}
+        self._words: dict[str, bytes] = {}
         self._clear()
 
     # compatibility of neighbours
@@ -93,103 +94,101 @@ class Transducer:
         the merge that swallowed a, likewise for b. The two would have merged if the rank of their union comes
         before both; at equal rank the left place is merged first.
         """
-        tokens, ranks = self.tokens, self.ranks
+        tokens, rank_of, known = self.tokens, self.ranks.get, self._parts
         a, b = left, right
-        until_a = until_b = self.width
+        until_a = until_b = width = self.width
+        of_a = known[a] if a in known else self.parts(a)
+        of_b = known[b] if b in known else self.parts(b)
         while True:
-            rank = ranks.get(tokens[a] + tokens[b], self.width)
-            if rank < until_a and rank <= until_b and rank < self.width:
+            rank = rank_of(tokens[a] + tokens[b], width)
+            if rank < until_a and rank <= until_b:
                 return False
-            of_a, of_b = self.parts(a), self.parts(b)
-            if of_a is None and of_b is None:
-                return True
             if of_b is not None and (of_a is None or b >= a):
                 until_b, b = b, of_b[0]
-            else:
+                of_b = known[b] if b in known else self.parts(b)
+            elif of_a is not None:
                 until_a, a = a, of_a[1]
+                of_a = known[a] if a in known else self.parts(a)
+            else:
+                return True
 
     # the machine
 
     def _clear(self) -> None:
-        self._ids: dict[tuple, int] = {}
-        self._states: list[tuple] = []
-        self._moves: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self._finals: list[tuple[int, ...] | None] = []
-        self._intern((((), -1, 0),))
+        self._ids: dict[tuple[int, ...], int] = {}
+        self._states: list[tuple[int, ...]] = []  # last token, trie node, last token, trie node, ...; the longest open token first
+        self._moves: dict[int, int] = {}  # state * 256 + byte -> state; the token that ends is the state's last but one number
+        self._intern((-1, 0))
 
-    def _intern(self, state: tuple) -> int:
+    def _intern(self, state: tuple[int, ...]) -> int:
         found = self._ids.get(state)
         if found is None:
             found = self._ids[state] = len(self._states)
             self._states.append(state)
-            self._moves.append({})
-            self._finals.append(None)
         return found
 
-    def _move(self, at: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        child, ends, out = self._child, self._ends, []
-        begun = child[byte]
-        for held, last, node in self._states[at]:
-            onward = child.get(node * 256 + byte)
+    def _move(self, at: int, byte: int) -> int:
+        child, ends, fits, width, out, ended = self._child.get, self._ends, self._fits.get, self.width, [], -1
+        pairs = iter(self._states[at])
+        for last, node in zip(pairs, pairs):
+            onward = child(node * 256 + byte)
             if onward is not None:
-                out.append((held, last, onward))
-            token = ends.get(node)
-            if token is not None and (last < 0 or self.fits(last, token)):
-                out.append(((*held, token), token, begun))
-        shared = 0
-        first = out[0][0]
-        for held, _, _ in out[1:]:
-            if len(held) < len(first):
-                first = held
-        while shared < len(first) and all(held[shared] == first[shared] for held, _, _ in out):
-            shared += 1
-        if shared:
-            sure = out[0][0][:shared]
-            out = [(held[shared:], last, node) for held, last, node in out]
-        else:
-            sure = ()
-        result = self._moves[at][byte] = (self._intern(tuple(out)), sure)
+                out += (last, onward)
+                if ended < 0:
+                    token = ends[onward]
+                    if token >= 0:
+                        if node == 0 or last < 0:  # the byte alone comes last, and one of the hypotheses ends here
+                            ended = token
+                        else:
+                            fit = fits(last * width + token)
+                            if self.fits(last, token) if fit is None else fit:
+                                ended = token
+        out += (ended, 0)
+        result = self._moves[at * 256 + byte] = self._intern(tuple(out))
         return result
 
-    def _final(self, at: int) -> tuple[int, ...]:
-        for held, last, node in self._states[at]:
-            token = self._ends.get(node)
-            if token is not None and (last < 0 or self.fits(last, token)):
-                self._finals[at] = (*held, token)
-                return self._finals[at]
-        raise AssertionError("every byte string has an encoding")
-
     def encode_bytes(self, word: bytes) -> list[int]:
         """Token ids of one pre-token."""
-        if not word:
-            return []
-        moves, at, out = self._moves, 0, []
+        moves, states, at, passed, ended = self._moves, self._states, 0, [], []
         for byte in word:
-            move = moves[at].get(byte)
+            move = moves.get(at * 256 + byte)
             if move is None:
-                if len(self._states) > MAX_STATES:  # start the table anew from where we are
-                    here = self._states[at]
+                if len(states) > MAX_STATES:  # start the table anew from where we are
+                    ended += [states[i][-2] for i in passed]
+                    passed, here = [], states[at]
                     self._clear()
-                    moves, at = self._moves, self._intern(here)
+                    moves, states, at = self._moves, self._states, self._intern(here)
                 move = self._move(at, byte)
-            at = move[0]
-            if move[1]:
-                out += move[1]
-        out += self._finals[at] or self._final(at)
+            at = move
+            passed.append(at)
+        ended += [states[i][-2] for i in passed]
+        tokens, out, end = self.tokens, [], len(ended)
+        while end:
+            token = ended[end - 1]
+            out.append(token)
+            end -= len(tokens[token])
+        out.reverse()
         return out
 
+    def _encode_word(self, word: str) -> bytes:
+        """Ids of one pre-token as 32-bit integers."""
+        words = self._words
+        ids = words.get(word)
+        if ids is None:
+            ids = array("i", self.encode_bytes(word.encode())).tobytes()
+            if len(word) <= 64:
+                if len(words) > MAX_WORDS:
+                    words.clear()
+                words[word] = ids
+        return ids
+
     def encode_into(self, text: str, out: array) -> None:
         """Append the ids of a text. Text that looks like a special token is ordinary text."""
-        words = self._words
-        for word in self._split_pattern.findall(text):
-            ids = words.get(word)
-            if ids is None:
-                ids = tuple(self.encode_bytes(word.encode()))
-                if len(word) <= 64:
-                    if len(words) > MAX_WORDS:
-                        words.clear()
-                    words[word] = ids
-            out.extend(ids)
+        found = self._split_pattern.findall(text)
+        ids = [*map(self._words.get, found)]
+        if None in ids:
+            ids = [self._encode_word(word) if known is None else known for word, known in zip(found, ids)]
+        out.frombytes(b"".join(ids))
 
     def encode(self, text: str | None) -> list[int]:
         """Ids of a text; none for null or empty text."""
