@@ -74,6 +74,30 @@ def test_a_source_of_long_documents_reaches_its_share(spark):
     assert all(abs(r["share"] - 0.5) < 0.02 for r in shares.collect())
 
 
+def test_repeats_come_as_near_as_can_be():
+    rnd = random.Random(6)
+    for _ in range(300):
+        counts = {rnd.randint(1, 50): rnd.randint(1, 3) for _ in range(rnd.randint(1, 5))}
+        total, most = sum(k * n for k, n in counts.items()), rnd.randint(1, 6)
+        goal = rnd.randint(0, total * most)
+        whole, rest = divmod(goal, total)
+        more = M.fit_repeats(counts, whole, rest, most)
+        assert all(0 <= whole * n + more.get(k, 0) <= most * n for k, n in counts.items())
+        assert goal - rest + sum(k * n for k, n in more.items()) == best({k: n * most for k, n in counts.items()}, goal)
+        even = M.fit_budget(counts, rest)
+        assert sum(k * n for k, n in even.items()) < rest or {k: n for k, n in even.items() if n} == {k: n for k, n in more.items() if n}
+
+
+def test_a_source_of_few_documents_reaches_its_share_by_repeats(spark):
+    docs = [(i, "many", " word" * 30) for i in range(30)] + [(100, "few", " word" * 100), (101, "few", " word" * 900)]
+    docs += [(200, "uneven", " word" * 100), (201, "uneven", " word" * 160)]  # 300 of 260 a pass: one document three times
+    df = spark.createDataFrame(docs, "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("many", 0.6, 1), ("few", 0.2, 3), ("uneven", 0.2, 3)], "source string, weight double, max_repeats int")
+    selection, shares = M.mix(df, targets)
+    assert {r["source"]: (r["tokens"], r["target_tokens"]) for r in shares.collect()} == {"many": (900, 900), "few": (300, 300), "uneven": (300, 300)}
+    assert {r["doc_id"]: r["copies"] for r in selection.filter("source <> 'many'").collect()} == {100: 3, 200: 3}
+
+
 def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, source string, text string")
     targets = spark.createDataFrame([("big", 1.0, 1)], "source string, weight double, max_repeats int")

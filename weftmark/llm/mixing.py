@@ -3,6 +3,8 @@
 Documents are counted by (source, exact token length). For every source the budget is met by whole passes
 over all its documents, then by a quota of documents of each length, then by a bounded-knapsack dynamic
 program for what is left, and last by taking, within each length, the documents first in a seeded order.
+A source whose last pass cannot meet its budget, as one of a few documents, uses them less evenly, within
+its repeats.
 
 Only length counts reach the driver, one a distinct length of a source of the target table. k distinct
 lengths need k * k / 2 tokens at least, so they grow at most as the root of a source's tokens. Long documents
@@ -71,6 +73,28 @@ def fit_budget(counts: dict[int, int], budget: int, slack: int = SLACK, seed: in
     return taken
 
 
+def fit_repeats(counts: dict[int, int], whole: int, rest: int, most: int, slack: int = SLACK, seed: int = 0) -> dict[int, int]:
+    """Copies of each length beyond ``whole`` passes, fewer if negative, so that they come to ``rest`` or as near below as can be.
+
+    First each document is used ``whole`` times or once more. Only while that misses ``rest`` may uses differ by
+    more, up to all from 0 to ``most``; the narrowest range that comes nearest is taken. Each range is filled by
+    ``fit_budget``, as near as that can.
+    """
+    total = sum(length * n for length, n in counts.items())
+    least = (whole * total + rest) % math.gcd(*counts)  # no choice leaves less
+    best, missed, spread = {}, math.inf, 0
+    while True:
+        low, high = max(0, whole - spread), min(most, whole + 1 + spread)
+        budget = rest + (whole - low) * total
+        taken = fit_budget({length: n * (high - low) for length, n in counts.items()}, budget, slack, seed)
+        short = budget - sum(length * n for length, n in taken.items())
+        if short < missed:
+            best, missed = {length: n - (whole - low) * counts[length] for length, n in taken.items()}, short
+        if missed == least or (low, high) == (0, most):
+            return best
+        spread = 2 * spread or 1
+
+
 def plan(sizes: dict[str, int], targets: dict[str, tuple[float, int]], total_tokens: int | None = None) -> dict[str, tuple[int, int]]:
     """(whole passes, budget left for one further pass) of each source.
 
@@ -116,8 +140,11 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 0, total_tokens: i
         by_source.setdefault(r["source"], {})[r["n_tokens"]] = r["n"]
     sizes = {s: sum(length * n for length, n in counts.items()) for s, counts in by_source.items()}
     passes = plan(sizes, wanted, total_tokens)
-    quota = [(s, length, n) for s, (_, rest) in passes.items() for length, n in fit_budget(by_source[s], rest, seed=seed).items() if n]
-    quotas = spark.createDataFrame(quota, "source string, n_tokens long, quota long")
+    quota = [
+        (s, length, *divmod(n, by_source[s][length]))
+        for s, (w, rest) in passes.items() for length, n in fit_repeats(by_source[s], w, rest, wanted[s][1], seed=seed).items() if n
+    ]
+    quotas = spark.createDataFrame(quota, "source string, n_tokens long, more long, quota long")
     whole = spark.createDataFrame([(s, w) for s, (w, _) in passes.items()], "source string, whole long")
     # rank in the seeded order without one task a length: ranks within slices, and counts of the slices before
     per_slice = sized.groupBy("source", "n_tokens", "slice").agg(F.count("*").alias("n"))
@@ -129,7 +156,7 @@ def mix(documents: DataFrame, targets: DataFrame, seed: int = 0, total_tokens: i
         .join(offsets, ["source", "n_tokens", "slice"])
         .join(F.broadcast(whole), "source")
         .join(F.broadcast(quotas), ["source", "n_tokens"], "left")
-        .withColumn("copies", F.col("whole") + (F.col("at") + F.col("before") <= F.coalesce("quota", F.lit(0))).cast("long"))
+        .withColumn("copies", F.col("whole") + F.coalesce("more", F.lit(0)) + (F.col("at") + F.col("before") <= F.coalesce("quota", F.lit(0))).cast("long"))
         .filter("copies > 0")
         .select("doc_id", "source", "n_tokens", "copies")
     )
