@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import pytest
@@ -92,6 +93,21 @@ def test_draws(spark):
     assert stats.draws(0, 4, 1, spark).count() == 0
 
 
+def test_draws_have_their_size_and_are_not_broadcast(spark):
+    from pyspark.sql import functions as F
+
+    many = stats.draws(100_000, 100, 0, spark).select("sample", "position")
+    assert int(many._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) >= 10_000_000 * 8
+    rows = stats.draws(7, 3, 5, spark).collect()
+    want = {(s, k, int(hashlib.md5(f"5-{s}-{k}".encode()).hexdigest()[:12], 16) % 7) for s in range(3) for k in range(7)}
+    assert {(r["sample"], r["slot"], r["position"]) for r in rows} == want
+    records = spark.createDataFrame([(i, i + 1) for i in range(50)], "key long, x long")
+    boot = stats.bootstrap(records, "key", [F.sum("x").alias("x")], 4, 0)
+    joins = [x for x in boot._jdf.queryExecution().executedPlan().toString().splitlines() if "HashJoin" in x and "position" in x]
+    assert joins and all("ShuffledHashJoin" in x for x in joins)
+    assert {r["sample"]: r["x"] for r in boot.collect()} == {s: sum(int(hashlib.md5(f"0-{s}-{k}".encode()).hexdigest()[:12], 16) % 50 + 1 for k in range(50)) for s in range(4)}
+
+
 def test_bootstrap_jackknife_numbered(spark):
     from pyspark.sql import functions as F
 
