@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from weftmark.functions import ids, vectors
 from weftmark.functions.stemmer import stem
-from weftmark.operators import extract, graph, induce, resolve, score, segment
+from weftmark.operators import extract, graph, induce, resolve, score, segment, simjoin
 from weftmark.operators.simjoin import cosine_pairs
 
 
@@ -164,6 +164,26 @@ def test_similarity_join(spark, threshold):
     assert got == {(i, j) for i, a in rows for j, b in rows if i < j and round(cos(a, b), 12) >= threshold}
 
 
+def test_cosine_pairs_by_blocks(spark, monkeypatch):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal((40, 64))
+    near = base + 0.7 * rng.standard_normal((40, 64)) * rng.random((40, 1))
+    x = np.vstack([base, near, np.repeat(base[:1], 30, axis=0), np.zeros((2, 64)), rng.integers(0, 3, (40, 64))])
+    unit = np.divide(x, np.linalg.norm(x, axis=1, keepdims=True), out=np.zeros_like(x), where=x.any(axis=1, keepdims=True))
+    want = {(i, j) for i, j in zip(*np.nonzero(np.round(unit @ unit.T, 12) >= 0.9)) if i < j}
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "item long, vector array<double>")
+    got = cosine_pairs(rows, 0.9, 64, block=32).collect()
+    assert len(got) == len(want) > 450 and {(r["a"], r["b"]) for r in got} == want
+    assert all(r["cosine"] == pytest.approx(unit[r["a"]] @ unit[r["b"]], abs=1e-11) for r in got)
+    # equal vectors: every cell of a tile is a pair, and their cosines are taken a few at a time
+    monkeypatch.setattr(simjoin, "EXACT", 1000)
+    same, short = np.repeat(base[:1], 90, axis=0), simjoin._narrow(np.repeat(unit[:1], 90, axis=0), simjoin._basis(unit, 64))
+    sizes = [len(rows) for rows, _, _ in simjoin._tile(same, same, short, short, 0.9)]
+    assert sum(sizes) == 8100 and max(sizes) == 1000
+
+
 def fold(labels, threshold, prior=()):
     """The sequential resolver: one label after the other."""
     known, order, out = {}, [], []
